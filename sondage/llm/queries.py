@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sondage.llm import chat_format, exact_dedup
+from sondage.llm import chat_format, exact_dedup, packing
 
 QUERIES = {
+    "op1_pack": packing.query_op1,
     "op3_chat_format": chat_format.query_op3,
     "op9_exact_dedup": exact_dedup.query_op9,
 }
