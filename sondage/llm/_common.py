@@ -16,17 +16,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BATCH_ROWS = 256
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediates that the driver and all executors see.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where none is named (tests) a folder of this process is used.
+    The session names it in ``spark.checkpoint.dir``; only where none is named
+    (tests) a folder of this process is made.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
         own = tempfile.mkdtemp(prefix="sondage-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
+        spark.sparkContext.setCheckpointDir(own)
+        return own
+    return now.get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder; the lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
