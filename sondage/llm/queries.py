@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sondage.llm import byte_bpe, chat_format, exact_dedup, packing, secrets
+from sondage.llm import byte_bpe, chat_format, exact_dedup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_pack": packing.query_op1,
+    "op2_quality": quality.query_op2,
     "op3_chat_format": chat_format.query_op3,
     "op4_byte_bpe": byte_bpe.query_op4,
     "op5_secrets": secrets.query_op5,
+    "op6_toxicity": toxicity.query_op6,
     "op9_exact_dedup": exact_dedup.query_op9,
 }
 ORACLES = {
