@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.llm import byte_bpe, chat_format, exact_dedup, packing, quality, secrets, toxicity
+from sondage.llm import ann, byte_bpe, chat_format, exact_dedup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_pack": packing.query_op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.query_op4,
     "op5_secrets": secrets.query_op5,
     "op6_toxicity": toxicity.query_op6,
+    "op7_ann": ann.query_op7,
     "op9_exact_dedup": exact_dedup.query_op9,
 }
 ORACLES = {
