@@ -6,7 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondage.llm import exact_dedup, packing, secrets
+from sondage.llm import exact_dedup, ngram_join, packing, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that a classifier chain fitted on ``labels`` finds toxic."""
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, chain)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +20,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by marks."""
     return secrets.redact_secrets(docs)
@@ -27,7 +38,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("near duplicates", drop_near_copies),
     ("secret removal", remove_secrets),
     ("packing", pack_sequences),
 ]

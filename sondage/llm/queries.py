@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.llm import ann, byte_bpe, chat_format, exact_dedup, packing, quality, secrets, toxicity
+from sondage.llm import ann, byte_bpe, chat_format, exact_dedup, licenses, ngram_join, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_pack": packing.query_op1,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_secrets": secrets.query_op5,
     "op6_toxicity": toxicity.query_op6,
     "op7_ann": ann.query_op7,
+    "op8_ngram_join": ngram_join.query_op8,
     "op9_exact_dedup": exact_dedup.query_op9,
+    "op10_licenses": licenses.query_op10,
 }
 ORACLES = {
     "op3_chat_format": chat_format.ORACLE_OP3,
