@@ -11,8 +11,11 @@ shards, so that what is left over does not grow with the number of shards.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,41 +24,90 @@ from pyspark.sql import DataFrame, functions as F
 from sondage.llm._common import batch_of, columns, partitions, small_batches, stored, text_or_empty
 
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
-ASCII_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split() and not to the tokenizer
+REMEMBERED = 700_000
+#: White space to str.split() and not to the tokenizer; and signs of special tokens.
+ASCII_SEPARATORS, SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f"), "<|"
+#: What the tokenizer takes for white space, and its pre-tokens, as its file has them.
+NOT_SPACE = r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END = b"\xff"
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, from remembered words.
 
     Its pre-tokens never span white space, so the ids of a text are those of
-    its words in turn. Words are remembered as little-endian 32-bit ids.
+    its words in turn. Words are remembered as little-endian 32-bit ids. For a
+    BPE whose ids follow the order of its merges, words are merged by rank: a
+    pre-token's bytes and a byte that marks its end, which no UTF-8 text holds.
+    Any other tokenizer, and any word with signs of special tokens, goes
+    through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
+        self.not_space, self.pre_token = regex.compile(NOT_SPACE), regex.compile(PRE_TOKEN)
+        self.merge = _merges(path)
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in ASCII_SEPARATORS):
-            import regex
-
-            return regex.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text)
+            return self.not_space.findall(text)
         return text.split()
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        if self.merge is None:
+            return [e.ids for e in self.model.encode_batch(words, add_special_tokens=False)]
+        out = []
+        for w in words:
+            if SPECIAL in w:
+                out.append(self.model.encode(w, add_special_tokens=False).ids)
+                continue
+            low = unicodedata.normalize("NFC", w)
+            low = low.lower() if "\u03a3" not in low else "".join(map(str.lower, low))
+            parts = [low] if low.isalpha() else self.pre_token.findall(low)
+            out.append(self.merge(parts[0].encode() + END) if len(parts) == 1 else [i for p in parts for i in self.merge(p.encode() + END)])
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*split).difference(self.known)) if split else []
-        for word, found in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for word, found in zip(new, self.encode(new), strict=True):
+            self.known[word] = array("I", found).tobytes()
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
+def _merges(path: str):
+    """A function from a pre-token's bytes and ``END`` to ids; None where the file isn't of that kind."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    kinds = [x.get("type") for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    split = [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [])]
+    vocabulary, first = model["vocab"], 512
+    pairs = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if kinds != ["NFC", "Replace", "Lowercase"] or split[:1] != [PRE_TOKEN] or model.get("end_of_word_suffix") != "</w>" or any(vocabulary[p] != first + k for k, p in enumerate(pairs)):
+        return None
+    import tiktoken
+
+    byte = _byte_signs()
+    ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + END * t.endswith("</w>"): k for t, k in vocabulary.items() if k < first + len(pairs)}
+    return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+def _byte_signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, ``token_ids``.
 
