@@ -2,48 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sondage.plans import claims, contracts, findings, graph, scalars
+from sondage.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from sondage.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query and, where SQL can express it, its counterpart."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-@query(
-    "findings_breakdown",
-    """
-    SELECT event_type AS category,
-           CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'
-                WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END AS severity,
-           count(*) AS n
-    FROM events GROUP BY 1, 2
-    """,
-)
-def findings_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    severity = (
-        F.when(F.col("event_type") == "error", "critical")
-        .when(F.col("event_type") == "purchase", "high")
-        .when(F.col("event_type") == "click", "medium")
-        .when(F.col("event_type") == "view", "low")
-        .otherwise("info")
-    )
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("category"), severity.alias("severity"))
-        .agg(F.count("*").alias("n"))
-    )
+__all__ = ["ORACLES", "QUERIES", "claims", "contracts", "findings", "graph", "scalars"]
