@@ -27,6 +27,8 @@ from sondage.llm._common import batch_of, columns, partitions, small_batches, st
 REMEMBERED = 700_000
 #: White space to str.split() and not to the tokenizer; and signs of special tokens.
 ASCII_SEPARATORS, SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f"), "<|"
+#: Up to here all libraries agree on what is a letter, whatever their Unicode version.
+LATIN = "\u024f"
 #: What the tokenizer takes for white space, and its pre-tokens, as its file has them.
 NOT_SPACE = r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -40,8 +42,8 @@ class WordTokenizer:
     its words in turn. Words are remembered as little-endian 32-bit ids. For a
     BPE whose ids follow the order of its merges, words are merged by rank: a
     pre-token's bytes and a byte that marks its end, which no UTF-8 text holds.
-    Any other tokenizer, and any word with signs of special tokens, goes
-    through the tokenizer itself.
+    Any other tokenizer, and any word beyond Latin letters or with signs of
+    special tokens, goes through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -63,11 +65,10 @@ class WordTokenizer:
             return [e.ids for e in self.model.encode_batch(words, add_special_tokens=False)]
         out = []
         for w in words:
-            if SPECIAL in w:
+            if SPECIAL in w or (not w.isascii() and max(w) > LATIN):
                 out.append(self.model.encode(w, add_special_tokens=False).ids)
                 continue
-            low = unicodedata.normalize("NFC", w)
-            low = low.lower() if "\u03a3" not in low else "".join(map(str.lower, low))
+            low = unicodedata.normalize("NFC", w).lower()
             parts = [low] if low.isalpha() else self.pre_token.findall(low)
             out.append(self.merge(parts[0].encode() + END) if len(parts) == 1 else [i for p in parts for i in self.merge(p.encode() + END)])
         return out
