@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op3_chat_format": chat_format.ORACLE_OP3,
     "op9_exact_dedup": exact_dedup.ORACLE_OP9,
+    "op10_licenses": licenses.ORACLE_OP10,
 }

@@ -1,0 +1,29 @@
+"""The corpus queries that SQL can express, against DuckDB; the rest run and return every row."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from sondage.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, sf, duck, name):
+    got, want = QUERIES[name](spark, sf), duck.sql(ORACLES[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    places = [want.columns.index(c) for c in order]
+    assert sorted((tuple(map(str, (r[c] for c in order))) for r in got.collect())) == sorted(tuple(str(r[k]) for k in places) for r in want.fetchall())
+
+
+def test_ten_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
