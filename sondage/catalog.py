@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.plans import claims, contracts, findings, graph, scalars
+from sondage.plans import claims, contracts, findings, graph, obligations, scalars
 from sondage.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "claims", "contracts", "findings", "graph", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "claims", "contracts", "findings", "graph", "obligations", "scalars"]
