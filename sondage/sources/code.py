@@ -29,7 +29,7 @@ def code_files(files: DataFrame) -> DataFrame:
     return rows.where(F.col("language").isNotNull() & ~looks_minified(F.col("text")) & ~is_generated(F.col("path"), F.col("text")))
 
 
-NODES = "path string, node int, parent int, lft int, rgt int, depth int, node_type string, name string, detail string, line_start int, line_end int, column int, params int, statements int, nesting int"
+NODES = "path string, node int, parent int, lft int, rgt int, depth int, node_type string, name string, detail string, line_start int, line_end int, column int, params int, statements int, nesting int, context string"
 
 BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
 
@@ -74,7 +74,7 @@ def python_nodes(path: str, text: str) -> list[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(path, 0, None, 0, 0, 0, "Error", type(e).__name__, None, getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, 0, None, None, None)]
+        return [(path, 0, None, 0, 0, 0, "Error", type(e).__name__, None, getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, 0, None, None, None, None)]
     out, stack, clock = [], [(tree, None, 0, False)], 0
     while stack:
         n, parent, depth, leaving = stack.pop()
@@ -85,7 +85,7 @@ def python_nodes(path: str, text: str) -> list[tuple]:
         fn = isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)
         params = len(n.args.posonlyargs) + len(n.args.args) + len(n.args.kwonlyargs) if fn else None
         statements = sum(isinstance(x, ast.stmt) for x in ast.walk(n)) - 1 if fn else None
-        out.append([path, at, parent, clock, None, depth, type(n).__name__, _name(n), _detail(n), getattr(n, "lineno", None), getattr(n, "end_lineno", None), getattr(n, "col_offset", None), params, statements, _nesting(n) if fn else None])
+        out.append([path, at, parent, clock, None, depth, type(n).__name__, _name(n), _detail(n), getattr(n, "lineno", None), getattr(n, "end_lineno", None), getattr(n, "col_offset", None), params, statements, _nesting(n) if fn else None, "arg" if isinstance(n, ast.arg) else type(n.ctx).__name__ if isinstance(n, ast.Name) else None])
         clock += 1
         stack.append((n, at, depth, True))
         stack += [(c, at, depth + 1, False) for c in reversed(list(ast.iter_child_nodes(n)))]
