@@ -82,6 +82,30 @@ def unpack_ints(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def pack_ranks(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, mostly small: one byte each, and further bytes only for those that need them."""
+    streams, rest = [], values.astype("<u4")
+    small = np.minimum(rest, 255).astype(np.uint8)
+    rest = rest[rest >= 255]
+    streams.append(small)
+    middle = np.minimum(rest >> 8, 255).astype(np.uint8)
+    streams += [middle, (rest & 255).astype(np.uint8)]
+    streams.append((rest[rest >> 8 >= 255] >> 8).astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel())
+    packed = [pack_bytes(np.ascontiguousarray(x).tobytes()) for x in streams]
+    return b"".join(len(x).to_bytes(4, "little") for x in packed) + b"".join(packed)
+
+
+def unpack_ranks(raw: bytes) -> np.ndarray:
+    sizes, at, streams = [int.from_bytes(raw[4 * k : 4 * k + 4], "little") for k in range(4)], 16, []
+    for n in sizes:
+        streams.append(np.frombuffer(unpack_bytes(raw[at : at + n]), np.uint8))
+        at += n
+    out, high = streams[0].astype("<u4"), streams[1].astype("<u4")
+    high[high == 255] = np.ascontiguousarray(streams[3].reshape(4, -1).T).view("<u4").ravel()
+    out[out == 255] = (high << 8) | streams[2]
+    return out
+
+
 def pack_strings(words: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, words), np.uint32, len(words))
     head = pack_ints(lens)

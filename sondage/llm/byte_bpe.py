@@ -14,17 +14,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sondage.llm._common import pack_ints, pack_strings, partitions, small_batches, text_or_empty, unpack_ints, unpack_strings
+from sondage.llm._common import pack_bytes, pack_ints, pack_ranks, pack_strings, partitions, small_batches, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
 
 #: A block is closed when it holds so many distinct words or so many words in all.
 BLOCK_DISTINCT, BLOCK_WORDS = 250_000, 6_000_000
+#: Documents travel together in parcels of about so many words, which compress better than single ones.
+PARCEL_WORDS = 100_000
 #: White space before a space that is not followed by a word: there, splitting at spaces would cut a match.
 UNSAFE = re.compile(r"\s (?!\S)")
 OTHER_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")  # re and the pattern's library may differ on these
@@ -58,7 +62,7 @@ def _blocks(pattern_text: str, groups: int):
 
         pattern, part, count = regex.compile(pattern_text), TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
-        docs: list[tuple[bytes, np.ndarray]] = []
+        docs: list[tuple[object, np.ndarray]] = []
         total = 0
 
         def close():
@@ -75,9 +79,13 @@ def _blocks(pattern_text: str, groups: int):
             for g in np.unique(group):
                 numbers = np.flatnonzero(group == g)
                 rows.append((block, 0, int(g), pack_ints(np.diff(numbers, prepend=0)), pack_strings([words[by[i]] for i in numbers])))
-            for k, (key, seq) in enumerate(docs):
-                rows.append((block, 1, k, key, pack_ints(renumbered[seq])))
-                if len(rows) >= 256:
+            at, ends = 0, np.cumsum([len(seq) for _, seq in docs])
+            while at < len(docs):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PARCEL_WORDS)))
+                keys = pack_bytes(pickle.dumps([(key, len(seq)) for key, seq in docs[at:to]]))
+                rows.append((block, 1, at, keys, pack_ranks(renumbered[np.concatenate([seq for _, seq in docs[at:to]])])))
+                at = to
+                if len(rows) >= 64:
                     yield _wire(rows)
                     rows = []
             if rows:
@@ -85,12 +93,12 @@ def _blocks(pattern_text: str, groups: int):
             known, docs, total, count = {}, [], 0, count + 1
 
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text, pattern)
                 for w in set(words).difference(known):
                     known[w] = len(known)
                 seq = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-                docs.append((_key(batch, k), seq))
+                docs.append((key, seq))
                 total += len(seq)
                 if total >= BLOCK_WORDS or len(known) >= BLOCK_DISTINCT:
                     yield from close()
@@ -99,22 +107,6 @@ def _blocks(pattern_text: str, groups: int):
     return run
 
 
-def _key(batch: pa.RecordBatch, k: int) -> bytes:
-    """A document's id column as bytes, of whatever type."""
-    one = pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1)], names=["id"])
-    v = one.column(0)
-    if v.type == pa.int64():
-        x = v[0].as_py()
-        return b"" if x is None else int(x).to_bytes(8, "little", signed=True)
-    return b"" if v[0].as_py() is None else str(v[0].as_py()).encode()
-
-
-def _unkey(raw: bytes, kind: str):
-    if not raw:
-        return None
-    return int.from_bytes(raw, "little", signed=True) if kind == "bigint" else raw.decode()
-
-
 def _wire(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d, e = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e, pa.binary())], names=["block", "rank", "number", "ids", "data"])
@@ -167,11 +159,13 @@ def _assembled(batches):
                 start[numbers], length[numbers] = np.cumsum(lens) - lens, lens
                 table, pieces = (start, length, flat), []
             start, length, flat = table
-            seq = unpack_ints(data)
-            n = length[seq]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield ids, flat[np.repeat(start[seq] - (ends - n), n) + np.arange(total)]
+            every, at = unpack_ranks(data), 0
+            for key, k in pickle.loads(unpack_bytes(ids)):
+                seq, at = every[at : at + k], at + k
+                n = length[seq]
+                ends = np.cumsum(n)
+                total = int(ends[-1]) if k else 0
+                yield key, flat[np.repeat(start[seq] - (ends - n), n) + np.arange(total)]
 
 
 def _encoded_wire(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
@@ -188,17 +182,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Null texts count as empty and have no ids; repeated and null ids are
     documents of their own; an empty table gives an empty result; whole texts
-    are read. Ids may be of any type that survives a cast to string.
+    are read; extra columns are not.
     """
-    kind = dict(docs.dtypes)[id_col]
-    cast = docs if kind == "bigint" else docs.withColumn(id_col, F.col(id_col).cast("string"))
+    schema = docs.select(F.col(id_col), F.lit(None).cast("array<int>").alias("token_ids")).schema
+    kind = to_arrow_type(schema[0].dataType)
 
     def run(batches):
         for key, ids in _assembled(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_unkey(key, kind)], pa.int64() if kind == "bigint" else pa.string()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=[id_col, "token_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=[id_col, "token_ids"])
 
-    out = _encoded_wire(cast, path, pattern, id_col, text_col).mapInArrow(run, f"`{id_col}` {'bigint' if kind == 'bigint' else 'string'}, token_ids array<int>")
-    return out.withColumn(id_col, F.col(id_col).cast(kind))
+    return _encoded_wire(docs, path, pattern, id_col, text_col).mapInArrow(run, schema)
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -233,7 +226,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for key, ids in _assembled(batches):
             ids = ids.tolist()
             text = b"".join(map(table.__getitem__, ids))
-            rows.append((_unkey(key, "bigint"), len(ids), hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            rows.append((key, len(ids), hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
             if len(rows) >= 4096:
                 yield _digest_batch(rows)
                 rows = []
