@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sondage.llm._common import pack_bytes, pack_ints, pack_ranks, pack_strings, partitions, small_batches, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
 
 #: A block is closed when it holds so many distinct words or so many words in all.
-BLOCK_DISTINCT, BLOCK_WORDS = 250_000, 6_000_000
+BLOCK_DISTINCT, BLOCK_WORDS = 800_000, 8_000_000
 #: Documents travel together in parcels of about so many words, which compress better than single ones.
 PARCEL_WORDS = 100_000
 #: White space before a space that is not followed by a word: there, splitting at spaces would cut a match.
