@@ -120,12 +120,19 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 
 def _least_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The least label that reaches each node: by one edge, and then by its label's own label.
+
+    What reaches a node's label reaches the node, so labels travel twice as far
+    each round and a chain of n nodes takes about log n rounds.
+    """
     labels = kept(labels)
     while True:
         came = edges.join(labels.select(F.col("node").alias("source"), F.col("label").alias("l")), "source").groupBy(F.col("target").alias("node")).agg(F.min("l").alias("l"))
-        new = kept(labels.join(came, "node", "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("changed")))
+        step = labels.join(came, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("near"))
+        far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        new = kept(step.join(far, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "old"))
         labels = new.select("node", "label")
-        if new.where("changed").isEmpty():
+        if new.where("label < old").isEmpty():
             return labels
 
 
