@@ -7,7 +7,7 @@ of a single expression. Adding a rule adds a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: key, severity, node types, condition over a node's columns, title
 RULES = (
@@ -62,8 +62,6 @@ def context_batches(files: DataFrame, most_chars: int = 100_000, lanes: int = 64
     that no task holds all files. A batch's number is that of the running
     sum's step, which keeps each batch within twice the limit and most within it.
     """
-    from pyspark.sql import Window as W
-
     laned = files.select("path", F.char_length("text").alias("n"), F.pmod(F.xxhash64("path"), F.lit(lanes)).cast("int").alias("lane"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("lane").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return laned.select("path", "lane", "n", F.floor((before + F.least("n", F.lit(most_chars)) - 1) / most_chars).alias("batch"))

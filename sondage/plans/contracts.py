@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from sondage.operators import contracts as op
 from sondage.registry import query
@@ -79,8 +79,6 @@ SELECT DISTINCT 'u' || CAST(user_id % 3 AS VARCHAR) AS entity, event_type AS a,
 @query("compare_transitions", f"""WITH c AS ({STEPS}), d AS (SELECT * FROM (VALUES ('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('view', 'view')) t(a, b))
 SELECT entity, a AS "from", b AS "to", CASE WHEN a = 'purchase' THEN 'illegal-regression' ELSE 'undocumented-transition' END AS drift FROM c WHERE (a, b) NOT IN (SELECT (a, b) FROM d)""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
     e = table(spark, sf, "events").withColumn("to", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("to is not null")
     code = e.select(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("entity"), F.col("event_type").alias("from"), "to").distinct()
     known = spark.createDataFrame([(a, b, f"u{k}") for a, b in (("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view")) for k in range(3)], "`from` string, `to` string, entity string")
