@@ -125,13 +125,18 @@ def _leaves(sketches: DataFrame, runs: int, levels: int) -> DataFrame:
     out, open_ = None, rows
     for level in range(levels):
         p = f"p{level}"
-        sizes = open_.groupBy(p).agg(F.count("*").alias("size")).where("size > 1")
-        here = open_.drop("size").join(sizes, p)
+        # both sides of each join come from storage or an exchange of their own, and its result goes to storage,
+        # so that Spark may split the partition of a hot path while it runs
+        sizes = stored(open_.groupBy(p).agg(F.count("*").alias("size")).where("size > 1"))
+        here = stored(open_.drop("size").join(sizes, p))
         if level + 1 < levels:
-            branches = here.where(F.col("size") > SMALL).groupBy(p, f"p{level + 1}").agg(F.count("*").alias("n"))
-            widest = branches.groupBy(p).agg(F.max("n").alias("widest"))
-            here = stored(here.join(widest, p, "left").withColumn("leaf?", F.coalesce(F.col("widest") * 2 > F.col("size"), F.lit(True))).drop("widest"))
-            done, open_ = here.where("`leaf?`"), here.where("not `leaf?`").drop("leaf?")
+            large = here.where(F.col("size") > SMALL)
+            branches = large.groupBy(p, f"p{level + 1}").agg(F.count("*").alias("n"))
+            # a large bucket is split if no branch holds more than half of it
+            split = stored(branches.groupBy(p).agg(F.max("n").alias("widest")).join(sizes, p).where(F.col("widest") * 2 <= F.col("size")).select(p, F.lit(True).alias("split")))
+            large = stored(large.join(split, p, "left"))
+            done = here.where(F.col("size") <= SMALL).unionByName(large.where("split is null").drop("split"))
+            open_ = large.where("split").drop("split")
         else:
             done = here
         done = done.select("key", "run", F.col(p).alias("leaf"), "size")
