@@ -160,15 +160,21 @@ def short_cycles(edges: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
-def mounted_routes(mounts: DataFrame, routes: DataFrame, depth: int = 8) -> DataFrame:
-    """Routes with the prefixes of all routers above, once per way from a root router."""
+def mounted_routes(mounts: DataFrame, routes: DataFrame) -> DataFrame:
+    """Routes with the prefixes of all routers above, once per way from a root router, however long.
+
+    A way meets each router once, so cycles end. A route whose router is
+    mounted nowhere, or has no way from a root, keeps its own path.
+    """
     mounted = mounts.select("child").distinct()
-    top = mounts.select(F.col("parent").alias("router")).distinct().join(mounted.withColumnRenamed("child", "router"), "router", "left_anti").withColumn("prefix", F.lit(""))
-    every, level = top, top
-    for _ in range(depth):
-        level = level.join(mounts, level["router"] == mounts["parent"]).select(F.col("child").alias("router"), F.concat("prefix", "path").alias("prefix"))
-        every = every.unionByName(level)
-    return every.join(routes, "router").select("router", F.regexp_replace(F.concat("prefix", "route"), "/+", "/").alias("full_path"))
+    top = mounts.select(F.col("parent").alias("router")).distinct().join(mounted.withColumnRenamed("child", "router"), "router", "left_anti")
+    every = level = kept(top.select("router", F.lit("").alias("prefix"), F.array("router").alias("way")))
+    while not level.isEmpty():
+        step = level.join(mounts, level["router"] == mounts["parent"]).where(~F.array_contains("way", F.col("child")))
+        level = kept(step.select(F.col("child").alias("router"), F.concat("prefix", "path").alias("prefix"), F.concat("way", F.array("child")).alias("way")))
+        every = kept(every.unionByName(level))
+    found = routes.join(every.select("router", "prefix"), "router", "left")
+    return found.select("router", F.regexp_replace(F.concat(F.coalesce("prefix", F.lit("")), "route"), "/+", "/").alias("full_path"))
 
 
 def traced_flows(calls: DataFrame, entries: DataFrame, depth: int = 20) -> DataFrame:

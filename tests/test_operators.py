@@ -98,3 +98,11 @@ def test_claims_settle_by_each_pass(spark):
 
     df = spark.createDataFrame([(*r[:6], datetime.date.fromisoformat(f"{day}{r[6]}")) for r in rows], schema)
     assert {r.subject: (r.how, r.chosen) for r in claims.settle(df).collect()} == {"same": ("identical", 2), "status": ("status", 4), "rank": ("dominance", 5), "open": ("conflict", 8)}
+
+
+def test_mounted_routes_at_any_depth(spark):
+    mounts = [(k, k + 1, f"/m{k}") for k in range(12)] + [(0, 12, "/short"), (12, 11, "/back"), (31, 32, "/a"), (32, 31, "/b")]
+    routes = [(12, "/deep"), (40, "/alone"), (31, "/loop"), (0, "/root")]
+    got = graph.mounted_routes(spark.createDataFrame(mounts, "parent int, child int, path string"), spark.createDataFrame(routes, "router int, route string"))
+    deep = "".join(f"/m{k}" for k in range(12)) + "/deep"
+    assert sorted(map(tuple, got.collect())) == [(0, "/root"), (12, deep), (12, "/short/deep"), (31, "/loop"), (40, "/alone")]
