@@ -5,15 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows in one Arrow batch: a batch of very long texts must fit a Python worker.
-BATCH_ROWS = 256
+#: Rows that a Python worker turns into objects at once; Spark itself bounds the bytes of an Arrow batch.
+BITE_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,12 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        own = tempfile.mkdtemp(prefix="sondage-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        return own
-    return now.get()
+    if not now.isEmpty():
+        return now.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+    own = tempfile.mkdtemp(prefix="sondage-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,19 +42,39 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the rows of an Arrow batch, so that batches of long texts stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bites(batches: Iterable[pa.RecordBatch], rows: int = BITE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``; the session's setting stays as it is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` and schemas take it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``r`` beside the columns ``more``: no name can clash with ours."""
+    return df.select(F.struct(*map(col, df.columns)).alias("r") if df.columns else F.lit(None).alias("r"), *more)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 64 << 20) -> int:
+    """Tasks for an exchange of ``df``: the session's number, or more by the input's bytes as its plan knows them."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(partitions(df.sparkSession), known // task_bytes if known < 1 << 60 else 0)
+
+
 def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(col(name), F.lit(""))
 
 
 def columns(batch: pa.RecordBatch) -> list[list]:

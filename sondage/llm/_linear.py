@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import small_batches, stored
+from sondage.llm._common import bites, stored
 
 WORD = re.compile(r"\w+")
 SIGNS = re.compile(r"[^\w\s]{2,}")
@@ -58,12 +58,11 @@ def associated(sample_rows: DataFrame, view: Callable[[dict], Iterable[str]], la
     Counts are summed per task and then by feature; features that occur in the
     same documents are represented by the longest. At most ``most`` come back.
     """
-    small_batches(sample_rows.sparkSession)
     names = sample_rows.columns
 
     def count(batches):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-        for batch in batches:
+        for batch in bites(batches):
             for row in batch.to_pylist():
                 y, mark = row[label], hash_of(row)
                 for f in view(row):
@@ -100,7 +99,7 @@ def matrix(rows: DataFrame, view: Callable[[dict], Iterable[str]], features: lis
     places = {f: k for k, f in enumerate(features)}
 
     def run(batches):
-        for batch in batches:
+        for batch in bites(batches):
             bits = []
             for row in batch.to_pylist():
                 x = np.zeros(len(places), np.uint8)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import partitions, small_batches, stored
+from sondage.llm._common import partitions, stored
 
 BITS = 32
 SHARES = tuple(2.0**-k for k in range(12, -1, -1))
@@ -163,7 +163,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     ``sample_rows`` rows; every row is indexed. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
     classes = stored(_classes(usable(vectors, id_col, vec_col), k + 1))
     sample = [np.frombuffer(r.v, "<f8") for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows).collect()]
     schema = "query_id long, rank int, vec_id long, score double"

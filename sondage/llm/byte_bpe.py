@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sondage.llm._common import pack_bytes, pack_ints, pack_ranks, pack_strings, partitions, small_batches, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
+from sondage.llm._common import bites, pack_bytes, pack_ints, pack_ranks, pack_strings, partitions, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
 
 #: A block is closed when it holds so many distinct words or so many words in all.
 BLOCK_DISTINCT, BLOCK_WORDS = 800_000, 8_000_000
@@ -92,7 +92,7 @@ def _blocks(pattern_text: str, groups: int):
                 yield _wire(rows)
             known, docs, total, count = {}, [], 0, count + 1
 
-        for batch in batches:
+        for batch in bites(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text, pattern)
                 for w in set(words).difference(known):
@@ -120,7 +120,7 @@ def _encoder(path: str, pattern_text: str):
 
         model = tiktoken.Encoding("ranks", pat_str=pattern_text, mergeable_ranks=read_ranks(path), special_tokens={})
         known: dict[bytes, bytes] = {}
-        for batch in batches:
+        for batch in bites(batches):
             rows = []
             for block, rank, number, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rank:
@@ -143,7 +143,7 @@ def _encoder(path: str, pattern_text: str):
 def _assembled(batches):
     """(key, ids of the whole text) of every document; a block's words come before its documents."""
     block, pieces, table = None, [], None
-    for batch in batches:
+    for batch in bites(batches):
         for name, rank, _, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if name != block:
                 block, pieces, table = name, [], None
@@ -170,7 +170,6 @@ def _assembled(batches):
 
 def _encoded_wire(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     n = partitions(spark)
     wire = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(_blocks(pattern, n), WIRE)
     by_word = wire.repartition(n, F.when(F.col("rank") == 0, F.col("number")).otherwise(F.xxhash64("block")))
@@ -208,11 +207,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids") -> DataFra
 
     def run(batches):
         table = token_bytes(path)
-        for batch in batches:
+        for batch in bites(batches):
             got = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    small_batches(encoded.sparkSession)
     return encoded.mapInArrow(run, encoded.select("*", F.lit(None).cast("binary").alias("decoded")).schema)
 
 

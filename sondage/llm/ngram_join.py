@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import pack_bytes, partitions, small_batches, stored, text_or_empty, unpack_bytes
+from sondage.llm._common import bites, pack_bytes, partitions, stored, text_or_empty, unpack_bytes
 
 WORD = re.compile(r"\w+")
 N, THRESHOLD = 5, 0.8
@@ -90,11 +90,10 @@ def _key(text):
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, levels: int) -> DataFrame:
     """(key, id, sketch, paths): each distinct text once, with its smallest id; texts without words drop out."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in bites(batches):
             hashed = [shingler.hashes(t) for t in batch.column(2).to_pylist()]
             full = np.array([k for k, h in enumerate(hashed) if len(h)], np.int64)
             if not len(full):
@@ -348,11 +347,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flagged = stored(_hopeful(sketched, threshold, runs * levels))
     asked = flagged.select("key").distinct().join(owned.select("key", "leaves"), "key").join(sketches.select("key", "id"), "key")
     asked = stored(asked)
-    small_batches(spark)
 
     def sets(batches):
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in bites(batches):
             got = [pack_bytes(np.unique(shingler.hashes(t)).tobytes()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "leaves", "set"])
 

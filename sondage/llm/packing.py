@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import batch_of, columns, partitions, small_batches, stored, text_or_empty
+from sondage.llm._common import bites, batch_of, columns, partitions, stored, text_or_empty
 
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 700_000
@@ -116,7 +116,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     are cut. A null text is empty: one piece, the end id. Rows with a null or
     repeated id are documents of their own. Extra columns are not read.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids
     arrow = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.binary())] * with_ids)
@@ -124,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def cut(batches):
         words = WordTokenizer(tokenizer)
-        for batch in batches:
+        for batch in bites(batches):
             out, at = [[] for _ in arrow], []
             for k, ids in enumerate(words.ids(batch.column(1).to_pylist())):
                 ids += end

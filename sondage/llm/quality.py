@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.llm import _linear as L
-from sondage.llm._common import small_batches, text_or_empty
+from sondage.llm._common import bites, text_or_empty
 
 #: Rows that the classifiers are fitted on, at most: labelled ones, and unlabelled ones for pseudo-labels.
 FIT_ROWS, POOL_ROWS = 6000, 6000
@@ -124,12 +124,11 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
     Null texts count as empty, null metadata as a value of its own; repeated
     and null ids are rows of their own; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, p_content double, p_metadata double, quality_score double, keep boolean"
 
     def run(batches):
         places = [{f: k for k, f in enumerate(fs)} for fs in model.features]
-        for batch in batches:
+        for batch in bites(batches):
             rows = batch.to_pylist()
             xs = []
             for view, known in zip(VIEWS, places, strict=True):

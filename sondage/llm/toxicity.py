@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.llm import _linear as L
-from sondage.llm._common import small_batches, text_or_empty
+from sondage.llm._common import bites, text_or_empty
 
 #: The chain's order. The labels name toxic documents only; the first two categories are read off the
 #: labelled documents: one that holds an associated term, and one that holds several.
@@ -81,13 +81,12 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     Null texts count as empty; repeated and null ids are rows of their own; an
     empty table gives an empty result; extra columns are not read.
     """
-    small_batches(docs.sparkSession)
     names = [f"p_{c}" for c in CATEGORIES]
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean"
 
     def run(batches):
         places = {f: k for k, f in enumerate(chain.features)}
-        for batch in batches:
+        for batch in bites(batches):
             p = _scores(batch.column(1).to_pylist(), places, chain)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= 0.5)], names=[id_col, *names, "toxic"])
 
@@ -103,12 +102,11 @@ def _scores(texts: list[str], places: dict[str, int], chain: Chain) -> np.ndarra
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text isn't toxic, with all their columns."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         places = {f: k for k, f in enumerate(chain.features)}
-        for batch in batches:
+        for batch in bites(batches):
             p = _scores([t or "" for t in batch.column(at).to_pylist()], places, chain)
             yield batch.filter(pa.array(p[:, -1] < 0.5)) if len(p) else batch
 
