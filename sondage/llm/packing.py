@@ -4,8 +4,8 @@ Pieces are packed by a grouping genetic algorithm. Items are dealt into shards
 of bounded size; each shard is evolved on several islands at once. A crossover
 takes well-filled bins of one parent whole, removes the other parent's bins
 that hold the same items, and best-fits what was displaced. After each round
-every island sends its elite to the next island of its shard. Bins that stay
-poorly filled are opened and their items packed again, in fewer and fewer
+every island sends its elite to the next island of its shard. The bins that are
+filled least are opened and their items packed again, in fewer and fewer
 shards, so that what is left over does not grow with the number of shards.
 """
 
@@ -19,9 +19,9 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sondage.llm._common import bites, batch_of, columns, partitions, stored, text_or_empty
+from sondage.llm._common import batch_of, bites, col, columns, partitions, quoted, stored, text_or_empty, whole_rows
 
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 700_000
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     repeated id are documents of their own. Extra columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids
+    schema = f"{quoted(id_col)} {kind}, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids
     arrow = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.binary())] * with_ids)
     step, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             got = batch_of(arrow, out)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *got.columns], names=[id_col, *arrow.names])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(cut, schema)
+    return docs.select(col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(cut, schema)
 
 
 class Packer:
@@ -237,7 +237,8 @@ def _shard_rows(items: DataFrame, shards: int) -> DataFrame:
             by = np.argsort(uid)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([uid[by].astype("<i8").tobytes()], pa.binary()), pa.array([n[by].astype("<i4").tobytes()], pa.binary())], names=["shard", "uids", "lengths"])
 
-    return dealt.repartition(min(shards, 4 * partitions(items.sparkSession)), "shard").mapInArrow(gather, "shard int, uids binary, lengths binary")
+    tasks = min(shards, 4 * partitions(items.sparkSession))
+    return dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).mapInArrow(gather, "shard int, uids binary, lengths binary")
 
 
 def _evolved(items: DataFrame, shards: int, capacity: int, islands: int, rounds: int, population: int, generations: int) -> DataFrame:
@@ -265,7 +266,7 @@ def _evolved(items: DataFrame, shards: int, capacity: int, islands: int, rounds:
         return run
 
     for number in range(rounds):
-        out = state.repartition(tasks, "shard", "island").mapInArrow(live(number), sent)
+        out = state.repartitionById(tasks, F.pmod(F.col("shard") * islands + F.col("island"), F.lit(tasks)).cast("int")).mapInArrow(live(number), sent)
         if number + 1 < rounds:
             state = out.groupBy("shard", "island").agg(F.max("lengths").alias("lengths"), F.sort_array(F.collect_set("solution")).alias("solutions"))
     best = out.groupBy("shard").agg(F.max(F.struct("fitness", "island", "solution", "lengths")).alias("b")).select("shard", "b.solution", "b.lengths")
@@ -285,38 +286,58 @@ def _evolved(items: DataFrame, shards: int, capacity: int, islands: int, rounds:
     return rows.select("shard", "uids").join(best, "shard").select("shard", "uids", "lengths", "solution").mapInArrow(spread, "__uid long, shard int, bin int, offset long, used long, length long")
 
 
+def _opened(found: DataFrame, capacity: int, well_filled: float, most: int) -> tuple[Column, int, bool] | None:
+    """Which bins to open: (a condition on ``found``, their items, whether fewer bins could hold these items).
+
+    Those of the least fill, below ``well_filled``, that hold at most ``most``
+    items; of the bins with the fill at which that is reached, a part by hash.
+    """
+    fills = found.where(F.col("used") < well_filled * capacity).groupBy("used").agg(F.count("*").alias("n"), F.count_distinct("shard", "bin").alias("bins"), F.sum("length").alias("tokens"))
+    items = bins = tokens = 0
+    for r in sorted(fills.collect()):  # a row per fill, of which there are fewer than ``capacity``
+        part = min(1.0, (most - items) / r.n)
+        items, bins, tokens, last = items + part * r.n, bins + part * r.bins, tokens + part * r.tokens, r.used
+        if part < 1:
+            share = F.pmod(F.xxhash64("shard", "bin", F.lit(3)), F.lit(1 << 20)) < int(part * (1 << 20))
+            return (F.col("used") < last) | ((F.col("used") == last) & share), int(items), True
+    if not items:
+        return None
+    return F.col("used") < well_filled * capacity, int(items), bins > -(-tokens // capacity)
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 16_384, islands: int = 3, rounds: int = 2, population: int = 3, generations: int = 4, well_filled: float = 0.995) -> DataFrame:
     """``pieces`` (with a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Full pieces are sequences of their own. A level packs its items in shards
-    of about ``shard_items``; the items of bins filled below ``well_filled``
-    go to the next level, until one shard holds them all. Every piece is packed
-    once and ``offset`` has no gaps. An empty table gives an empty result.
+    of about ``shard_items``; then the bins of least fill, up to half of the
+    level's items, are opened and packed again in half as many shards, and so
+    on until one shard holds them all, or no bin is filled below
+    ``well_filled``, or the opened bins are as few as their tokens allow. So
+    what is left over in a shard meets what is left over in all others. Every
+    piece is packed once and ``offset`` has no gaps; ties go by number. Repeated
+    rows and null ids are pieces of their own. An empty table gives an empty
+    result. Other columns stay, whatever their names and types.
     """
-    numbered = stored(pieces.withColumn("__uid", F.monotonically_increasing_id()))
+    numbered = stored(whole_rows(pieces, F.col("length"), F.monotonically_increasing_id().alias("__uid")))
     full = numbered.where(F.col("length") == capacity).select("__uid", (-1 - F.col("__uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items, done, level = numbered.where(F.col("length") < capacity).select("__uid", "length"), [full], 0
     n = items.count()
     while n:
         shards = -(-n // shard_items)
         found = stored(_evolved(items, shards, capacity, islands, rounds, population, generations))
-        poor = (F.col("used") < well_filled * capacity) if shards > 1 else F.lit(False)
         number = F.lit(level << 56) + F.shiftleft(F.col("shard").cast("long"), 24) + F.col("bin")
-        done.append(found.where(~poor).select("__uid", number.alias("sequence_id"), "offset"))
-        items, left = found.where(poor).select("__uid", "length"), 0
-        if shards > 1:
-            left = items.count()
-            if left > 0.7 * n:  # opening them again would gain nothing
-                done.append(items.join(found, "__uid").select("__uid", number.alias("sequence_id"), "offset"))
-                left = 0
-        n, level = left, level + 1
+        opened = _opened(found, capacity, well_filled, n // 2) if shards > 1 else None
+        again = opened[0] if opened and opened[2] else F.lit(False)
+        done.append(found.where(~again).select("__uid", number.alias("sequence_id"), "offset"))
+        items, n, level = found.where(again).select("__uid", "length"), opened[1] if opened and opened[2] else 0, level + 1
     placed = done[0]
     for other in done[1:]:
         placed = placed.unionByName(other)
-    return numbered.join(placed, "__uid").drop("__uid")
+    return numbered.join(placed, "__uid").select("r.*", "sequence_id", "offset")
 
 
 def query_op1(spark, sf_dir: str) -> DataFrame:
+    """All pieces of all ``documents``, packed."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

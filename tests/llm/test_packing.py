@@ -73,3 +73,11 @@ def test_crossover_keeps_every_item_and_the_capacity():
     for where in best:
         assert (where >= 0).all() and np.bincount(where, packer.lengths).max() <= 512
     assert packer.score(best[0]) >= packer.score(packer.first(0.0)) - 1e-12
+
+
+def test_leftovers_of_all_shards_meet(spark):
+    """2,005 items of 2,400 and 2,005 of 1,600 tokens go two by two; each shard alone holds uneven numbers of them."""
+    pieces = spark.range(4010).selectExpr("id", "case when id % 2 = 0 then 2400 else 1600 end as length", "map('k', id) as `a.b`")
+    got = pack(pieces, shard_items=256)
+    assert got.columns == ["id", "length", "a.b", "sequence_id", "offset"]
+    assert got.select("sequence_id").distinct().count() <= 2006 and got.count() == 4010
