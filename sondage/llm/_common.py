@@ -69,7 +69,7 @@ def partitions(spark: SparkSession) -> int:
 
 def tasks_for(df: DataFrame, task_bytes: int = 64 << 20) -> int:
     """Tasks for an exchange of ``df``: the session's number, or more by the input's bytes as its plan knows them."""
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(partitions(df.sparkSession), known // task_bytes if known < 1 << 60 else 0)
 
 
