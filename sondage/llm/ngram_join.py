@@ -3,10 +3,15 @@
 In every run a text's n-grams are sampled by a hash function per level; the
 sampled n-gram is the branch taken. Texts on one path share the sampled
 n-grams and form a bucket. Small buckets are compared by brute force; a large
-one is split by the next level, unless most of it would take one branch (then
-its texts are alike and splitting only loses links). What is still large at
-the last level is compared in blocks. Runs are repeated until a pair at the
-threshold is met with the wanted probability even at the last level.
+one is split by the next level, however deep, unless most of it would take one
+branch (then its texts are alike and splitting only loses links; it is compared
+in blocks). Beyond the first levels a text takes several branches at once, so
+that going deeper loses few pairs.
+
+Runs are repeated until the target recall. The first number of runs is that
+which meets a pair at the threshold on the first levels; then recall is
+measured on the links found, by how many of them were met in one run alone and
+how many in two, and while it is short of the target the runs are doubled.
 
 Equal texts are one class and are compared once. A pair met in several
 buckets belongs to the least of them, so that links are counted once without
@@ -23,15 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import bites, pack_bytes, partitions, stored, text_or_empty, unpack_bytes
+from sondage.llm._common import bites, col, pack_bytes, partitions, stored, text_or_empty, unpack_bytes, whole_rows
 
 WORD = re.compile(r"\w+")
 N, THRESHOLD = 5, 0.8
 LEVELS, RECALL = 3, 0.99
 #: Members up to which a bucket counts as small, and members of a block of a larger one.
 SMALL, BLOCK = 512, 512
-#: Rows up to which the texts to be compared are broadcast as keys (16 bytes each); beyond, they are shuffled.
-BROADCAST_KEYS = 100_000
+#: Branches that a text takes on each level beyond the first ones.
+BRANCHES = 2
 REMEMBERED = 700_000
 
 
@@ -72,12 +77,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sampled(flat: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """count x texts: the least hash of each text's n-grams under each of ``count`` functions."""
-    rng = np.random.default_rng(11)
-    keys = rng.integers(1, 1 << 63, (count, 2), dtype=np.uint64)
+def sampled(flat: np.ndarray, starts: np.ndarray, count: int, first: int = 0) -> np.ndarray:
+    """count x texts: the least hash of each text's n-grams under each of ``count`` functions, from number ``first`` on."""
     out = np.empty((count, len(starts)), np.uint64)
-    for k, (a, b) in enumerate(keys):
+    for k in range(count):
+        a, b = np.random.default_rng((11, first + k)).integers(1, 1 << 63, 2, dtype=np.uint64)
         h = (flat ^ b) * (a | np.uint64(1))
         h ^= h >> np.uint64(32)
         out[k] = np.minimum.reduceat(h * (b | np.uint64(1)), starts)
@@ -113,36 +117,74 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, le
             )
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(_key(text_or_empty(text_col)).alias("key"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"key binary, id {kind}, sketch binary, paths array<long>")
+    found = docs.select(_key(text_or_empty(text_col)).alias("key"), col(id_col).alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"key binary, id {kind}, sketch binary, paths array<long>")
     return found.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
 
 
-def _leaves(sketches: DataFrame, runs: int, levels: int) -> DataFrame:
-    """(key, run, leaf, size): the buckets of two and more in which a text is compared."""
-    path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("paths", r * levels + 1, F.lit(levels)).alias("p")))
-    rows = sketches.select("key", F.explode(path).alias("x")).select("key", "x.run", *[F.col("x.p")[k].alias(f"p{k}") for k in range(levels)])
-    out, open_ = None, rows
-    for level in range(levels):
-        p = f"p{level}"
+def _deeper(open_: DataFrame, sketches: DataFrame, text_of, n: int, slots: int, level: int, branches: int) -> DataFrame:
+    """Open rows (key, run, path), each once per branch that its text takes on the next level, as (key, run, path).
+
+    Branches count as runs of their own: a text has one path in each.
+    """
+
+    def run(batches):
+        shingler = Shingler(n)
+        for batch in bites(batches):
+            hashed = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(h) for h in hashed])
+            tokens = sampled(np.concatenate(hashed), np.cumsum(sizes) - sizes, slots * branches, first=1_000_000 * level)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.view(np.int64).tolist() for t in tokens.T], pa.list_(pa.int64()))], names=["key", "tokens"])
+
+    asked = stored(open_.select("key").distinct().join(sketches.select("key", F.col("id").alias("rep")), "key"))
+    tokens = stored(text_of(asked).mapInArrow(run, "key binary, tokens array<long>").dropDuplicates(["key"]))
+    taken = F.explode(F.transform(F.sequence(F.lit(0), F.lit(branches - 1)), lambda b: F.struct((F.col("run") + b * slots).alias("run"), F.xxhash64("path", F.get("tokens", F.col("run") * branches + b)).alias("path"))))
+    return open_.join(tokens, "key").select("key", taken.alias("x")).select("key", "x.run", "x.path")
+
+
+def _leaves(sketches: DataFrame, text_of, n: int, runs: int, levels: int, small: int, branches: int) -> DataFrame:
+    """(key, run, leaf, size): the buckets of two and more in which a text is compared.
+
+    ``text_of`` gives the texts (key, t) of rows (key, rep); they are read only
+    where buckets are still large after the first levels.
+    """
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("paths", r * levels + 1, F.lit(levels)).alias("p")))
+    open_ = sketches.select("key", F.explode(first).alias("x")).select("key", "x.run", F.col("x.p")[0].alias("path"), F.col("x.p").alias("p"))
+    out, level, slots = None, 0, runs
+    while True:
         # both sides of each join come from storage or an exchange of their own, and its result goes to storage,
         # so that Spark may split the partition of a hot path while it runs
-        sizes = stored(open_.groupBy(p).agg(F.count("*").alias("size")).where("size > 1"))
-        here = stored(open_.drop("size").join(sizes, p))
-        if level + 1 < levels:
-            large = here.where(F.col("size") > SMALL)
-            branches = large.groupBy(p, f"p{level + 1}").agg(F.count("*").alias("n"))
-            # a large bucket is split if no branch holds more than half of it
-            split = stored(branches.groupBy(p).agg(F.max("n").alias("widest")).join(sizes, p).where(F.col("widest") * 2 <= F.col("size")).select(p, F.lit(True).alias("split")))
-            large = stored(large.join(split, p, "left"))
-            done = here.where(F.col("size") <= SMALL).unionByName(large.where("split is null").drop("split"))
-            open_ = large.where("split").drop("split")
+        sizes = stored(open_.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        here = stored(open_.join(sizes, "path"))
+        large = here.where(F.col("size") > small)
+        level += 1
+        if large.isEmpty():
+            done, further = here, None
         else:
-            done = here
-        done = done.select("key", "run", F.col(p).alias("leaf"), "size")
+            if level < levels:
+                further = large.select("key", "run", F.col("path").alias("from"), F.col("p")[level].alias("path"), "p")
+                taken, wide = further.withColumnRenamed("path", "to").withColumnRenamed("from", "path"), 1
+            else:
+                further = stored(_deeper(large.select("key", "run", "path"), sketches, text_of, n, slots, level, branches).withColumn("p", F.lit(None).cast("array<long>")))
+                # a bucket's branches, by the bucket: a row per branch, as many as its texts have runs in it
+                up = large.select("key", "run", "path")
+                taken = further.withColumnRenamed("path", "to").withColumn("run", F.pmod("run", F.lit(slots)).cast("int")).join(up, ["key", "run"])
+                wide = branches
+            widest = taken.groupBy("path", "to").agg(F.count("*").alias("n")).groupBy("path").agg(F.max("n").alias("widest"))
+            # a large bucket is split if no branch holds more than half of it
+            split = stored(widest.join(sizes, "path").where(F.col("widest") * 2 <= F.col("size")).select("path", F.lit(True).alias("split")))
+            large = stored(large.join(split, "path", "left"))
+            done = here.where(F.col("size") <= small).unionByName(large.where("split is null").drop("split"))
+            if level < levels:
+                further = large.where("split").select("key", "run", F.col("p")[level].alias("path"), "p")
+            else:
+                going = large.where("split").select("key", F.col("run").alias("of"))
+                further = further.withColumn("of", F.pmod("run", F.lit(slots)).cast("int")).join(going, ["key", "of"], "left_semi").select("key", "run", "path", "p")
+                slots *= wide
+        done = done.select("key", "run", F.col("path").alias("leaf"), "size")
         out = done if out is None else out.unionByName(done)
-        if level + 1 < levels and open_.isEmpty():
-            break
-    return out
+        if further is None:
+            return out
+        open_ = further
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -264,11 +306,31 @@ def _least(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _meetings(leaves: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """In how many runs each linked pair shares a bucket."""
+    out = np.zeros(links.shape, np.int32)
+    for run in leaves.T:
+        out += (run[:, None] == run[None, :]) & (run != 0)[:, None]
+    return np.where(links, out, 0)
+
+
+def recall_of(links: int, once: int, twice: int, runs: int) -> float:
+    """The share of links that were found, if ``once`` of them were met in one of the runs and ``twice`` in two.
+
+    What was met in no run is estimated from these two numbers, as the number
+    of unseen species is from those seen in one and in two samples.
+    """
+    if not links or not once:
+        return 1.0
+    unseen = (runs - 1) / runs * (once * once / (2 * twice) if twice else once * (once - 1) / 2)
+    return links / (links + unseen)
+
+
 def _verified(with_sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, to, n): a text's links in a bucket, their number, and the least text of its group there."""
+    """(key, to, n, once, twice): a text's links in a bucket, their number, the least text of its group there; links met in one run and in two."""
 
     def run(batches):
-        rows = [[], [], []]
+        rows = [[], [], [], [], []]
         for (leaf, lo, hi), (_, _, _, key, b, leaves, sets) in _groups(batches, 7):
             first = {}
             for k, x in enumerate(key):
@@ -281,21 +343,23 @@ def _verified(with_sets: DataFrame, threshold: float) -> DataFrame:
             links = similar([np.frombuffer(unpack_bytes(sets[k]), np.uint64) for k in at], pairs, threshold)
             links |= links.T
             n = links.sum(1)
+            met = _meetings(np.array(leaves, np.int64)[at], links) if n.any() else links
+            once, twice = (met == 1).sum(1), (met == 2).sum(1)
             group = _least(links)
             for k in np.flatnonzero(n).tolist():
-                for x, v in zip(rows, (key[k], key[int(group[k])], int(n[k])), strict=True):
+                for x, v in zip(rows, (key[k], key[int(group[k])], int(n[k]), int(once[k]), int(twice[k])), strict=True):
                     x.append(v)
             if len(rows[0]) > 4096:
                 yield _edges(rows)
-                rows = [[], [], []]
+                rows = [[], [], [], [], []]
         if rows[0]:
             yield _edges(rows)
 
-    return with_sets.select("leaf", "lo", "hi", "key", "b", "leaves", "set").mapInArrow(run, "key binary, to binary, n long")
+    return with_sets.select("leaf", "lo", "hi", "key", "b", "leaves", "set").mapInArrow(run, "key binary, to binary, n long, once long, twice long")
 
 
 def _edges(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["key", "to", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "to", "n", "once", "twice"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,31 +386,21 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: its class and the number of its links.
-
-    Texts are compared as sets of n-grams of lower-case words, whole. Columns:
-    the id; ``class_id``, the smallest id of its group; ``rep_id``, the smallest
-    id of the rows with the very same text; ``n_links``, the number of other
-    texts that are similar to its own; ``text_key``. Groups are the connected
-    components of the links. Null texts count as empty; texts without words are
-    similar to none but equal ones. Null ids come last; repeated rows are rows
-    of their own. An empty table gives an empty result; extra columns are not
-    read.
-    """
-    spark = docs.sparkSession
-    runs = runs_for(threshold, levels, recall)
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, levels: int, runs: int, small: int, branches: int) -> tuple[DataFrame, float]:
+    """(key, to, n, ...) of all links found in ``runs`` runs, stored, and the recall measured on them."""
     sketches = stored(_sketches(docs, id_col, text_col, n, runs, levels))
-    leaves = stored(_leaves(sketches, runs, levels))
-    number = F.aggregate(F.col("found"), F.array_repeat(F.lit(0).cast("long"), runs), lambda acc, x: F.transform(acc, lambda v, k: F.when(k == x["run"], x["leaf"]).otherwise(v)))
+    texts = docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("t")).withColumn("key", _key(F.col("t")))
+    one = lambda keys: texts.join(keys, (texts["key"] == keys["key"]) & texts["id"].eqNullSafe(keys["rep"])).select(texts["key"], *[keys[c] for c in keys.columns if c not in ("key", "rep")], "t")
+    leaves = stored(_leaves(sketches, one, n, runs, levels, small, branches))
+    slots = (leaves.agg(F.max("run")).first()[0] or 0) + 1
+    number = F.aggregate(F.col("found"), F.array_repeat(F.lit(0).cast("long"), slots), lambda acc, x: F.transform(acc, lambda v, k: F.when(k == x["run"], x["leaf"]).otherwise(v)))
     owned = leaves.groupBy("key").agg(F.collect_list(F.struct("run", "leaf", "size")).alias("found")).withColumn("leaves", number)
     members = owned.join(sketches.select("key", "sketch", "id"), "key").select("key", "id", "sketch", "leaves", F.explode("found").alias("x")).select("key", "id", "sketch", "leaves", "x.leaf", "x.size")
-    tasks = 2 * partitions(spark)
+    tasks = 2 * partitions(docs.sparkSession)
     by = ["leaf", "lo", "hi"]
     sketched = _blocked(members).repartition(tasks, *by).sortWithinPartitions(*by, "key")
     flagged = stored(_hopeful(sketched, threshold, runs * levels))
-    asked = flagged.select("key").distinct().join(owned.select("key", "leaves"), "key").join(sketches.select("key", "id"), "key")
-    asked = stored(asked)
+    asked = stored(flagged.select("key").distinct().join(owned.select("key", "leaves"), "key").join(sketches.select("key", F.col("id").alias("rep")), "key"))
 
     def sets(batches):
         shingler = Shingler(n)
@@ -354,33 +408,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             got = [pack_bytes(np.unique(shingler.hashes(t)).tobytes()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "leaves", "set"])
 
-    few = asked.select("key", F.col("id").alias("rep"), "leaves")
-    few = F.broadcast(few) if few.count() <= BROADCAST_KEYS else few.hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).withColumn("key", _key(F.col("t")))
-    wanted = texts.join(few, (texts["key"] == few["key"]) & texts["id"].eqNullSafe(few["rep"])).select(texts["key"], "leaves", "t")
-    with_sets = flagged.join(wanted.mapInArrow(sets, "key binary, leaves array<long>, set binary"), "key")
+    with_sets = flagged.join(one(asked).mapInArrow(sets, "key binary, leaves array<long>, set binary").dropDuplicates(["key"]), "key")
     blocks = members.select("key", "leaf", "size").join(flagged.select("leaf", "key").distinct(), ["leaf", "key"]).select("leaf", "key", F.pmod(F.xxhash64("key", F.lit(5)), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int").alias("b"))
     links = stored(_verified(with_sets.join(blocks, ["leaf", "key"]).repartition(tasks, *by).sortWithinPartitions(*by, "key"), threshold))
+    counts = links.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "once", "twice")]).first()
+    return links, recall_of(*(v // 2 for v in counts), runs)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL, small: int = SMALL, branches: int = BRANCHES) -> DataFrame:
+    """One row per row of ``docs``: its class and the number of its links.
+
+    Texts are compared as sets of n-grams of lower-case words, whole. Columns:
+    the id; ``class_id``, the smallest id of its group; ``rep_id``, the smallest
+    id of the rows with the very same text; ``n_links``, the number of other
+    texts that are similar to its own; ``text_key``. Groups are the connected
+    components of the links. Null texts count as empty; texts without words are
+    similar to none but equal ones. Null ids come last; repeated rows are rows
+    of their own. An empty table gives an empty result; extra columns are not
+    read.
+
+    recall: what must be reached, both computed for a pair at the threshold on
+    ``levels`` levels and measured on the links found; small: texts up to which
+    a bucket is compared as it is; branches: those taken on each deeper level.
+    """
+    runs = runs_for(threshold, levels, recall)
+    links, measured = _linked(docs, id_col, text_col, n, threshold, levels, runs, small, branches)
+    while measured < recall:
+        runs *= 2
+        links, measured = _linked(docs, id_col, text_col, n, threshold, levels, runs, small, branches)
     roots = components(links.select(F.col("key").alias("u"), F.col("to").alias("v")))
     counted = links.groupBy("key").agg(F.sum("n").alias("n_links")).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    every = docs.select(F.col(id_col), _key(text_or_empty(text_col)).alias("text_key"))
-    texts_ids = stored(every.groupBy("text_key").agg(F.min(id_col).alias("rep_id")).join(counted.withColumnRenamed("key", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")))
+    every = docs.select(col(id_col).alias("id"), _key(text_or_empty(text_col)).alias("text_key"))
+    texts_ids = stored(every.groupBy("text_key").agg(F.min("id").alias("rep_id")).join(counted.withColumnRenamed("key", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")))
     classes = texts_ids.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     full = texts_ids.join(classes, "root").select("text_key", "rep_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return every.join(full, "text_key").select(id_col, "class_id", "rep_id", "n_links", "text_key")
+    return every.join(full, "text_key").select(F.col("id").alias(id_col), "class_id", "rep_id", "n_links", "text_key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns.
+    """The rows of ``docs`` with the smallest id of their group, with all their columns, of any type and name.
 
     A group without any id keeps the rows of its least text. Repeated rows of
     the id that stays all stay, where exact copies haven't been removed before.
+    Null texts count as empty; an empty table gives an empty result.
     """
     groups = near_duplicates(docs, id_col, text_col)
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__keep"), F.col("text_key").alias("__key")).distinct()
-    named = docs.withColumn("__digest", _key(text_or_empty(text_col)))
-    return named.join(stay, named[id_col].eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__key")), "left_semi").drop("__digest")
+    stay = groups.where(col(id_col).eqNullSafe(F.col("class_id"))).select(col(id_col).alias("keep"), F.col("text_key").alias("sha")).distinct()
+    named = whole_rows(docs, col(id_col).alias("id"), _key(text_or_empty(text_col)).alias("digest"))
+    return named.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("sha")), "left_semi").select("r.*")
 
 
 def query_op8(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` over every whole text of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

@@ -59,6 +59,61 @@ def test_links_and_groups_match_brute_force(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), str(r.n_links)) for r in got) == expected
 
 
+def pairs_at_the_threshold(count, seed=5):
+    """Texts of 50 to 60 words and again with one word changed: similarities from 0.80 to 0.84."""
+    rng = np.random.default_rng(seed)
+    words = np.array([f"w{k}" for k in range(3000)])
+    rows = []
+    for k in range(count):
+        text = list(rng.choice(words, rng.integers(50, 60)))
+        other = list(text)
+        other[int(rng.integers(10, 40))] = f"changed{k}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_at_the_threshold(spark):
+    rows = pairs_at_the_threshold(1000)
+    got = {r.doc_id: r for r in J.near_duplicates(documents(spark, rows)).collect()}
+    shingler, truly = J.Shingler(), []
+    for k in range(1000):
+        a, b = (set(shingler.hashes(rows[2 * k + i][1]).tolist()) for i in (0, 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            truly.append(k)
+    assert len(truly) > 900
+    assert sum(got[2 * k + 1].class_id == 2 * k for k in truly) >= 0.98 * len(truly)
+    assert sum(r.n_links for r in got.values()) <= 2 * len(truly)
+
+
+def test_buckets_are_split_beyond_the_first_levels(spark, monkeypatch):
+    """A hundred texts share long passages, so that paths of one level leave them together."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    deeper = []
+    monkeypatch.setattr(J, "_deeper", lambda *a, f=J._deeper: deeper.append(1) or f(*a))
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(900)])
+    passages = [list(rng.choice(words, 40)) for _ in range(6)]
+    rows = []
+    for k in range(60):
+        text = [w for p in rng.permutation(6)[:4] for w in passages[p]] + list(rng.choice(words, 30))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, f"more{k}"]))]
+    want = brute(rows)
+    got = J.near_duplicates(documents(spark, rows), levels=1, small=4).collect()
+    assert deeper
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, *want[t]) for i, t in rows)
+
+
+def test_runs_are_repeated_until_the_measured_recall(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(J, "_linked", lambda *a, f=J._linked: asked.append(a[6]) or f(*a))
+    monkeypatch.setattr(J, "runs_for", lambda *a: 2)
+    rows = pairs_at_the_threshold(200)
+    got = {r.doc_id: r.class_id for r in J.near_duplicates(documents(spark, rows)).collect()}
+    assert len(asked) > 1 and asked[:2] == [2, 4]
+    assert sum(got[2 * k + 1] == 2 * k for k in range(200)) >= 180
+    assert J.recall_of(0, 0, 0, 7) == J.recall_of(10, 0, 0, 7) == 1 and J.recall_of(90, 30, 30, 10) < 0.9
+
+
 def test_one_of_each(spark):
     rows = rows_of(seed=2, groups=4, hot=8)
     docs = documents(spark, rows)
