@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import bites, stored
+from sondage.llm._common import bites, col, stored
 
+#: Parts that the labelled rows are dealt into by the hash of their id.
+FOLDS = 4
 WORD = re.compile(r"\w+")
 SIGNS = re.compile(r"[^\w\s]{2,}")
 
@@ -47,43 +49,60 @@ def content(text: str) -> set[str]:
     return out
 
 
-def sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most ``most`` rows by the hash of their id: the same ones each time; kept."""
-    return stored(rows.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most))
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """At most ``most`` labelled ids, by their hash, with ``y``; and one row per such id of ``docs`` (doc_id, y, fold, ...).
+
+    Repeated labels of an id count as one, 1 if any says so; null labels, null
+    ids and ids that no document has don't count. Of several documents of an id
+    the least row counts. Both tables have a row per id at most, so they are bounded.
+    """
+    wanted = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("doc_id")).agg(F.max((col(label_col) != 0).cast("int")).alias("y"))
+    chosen = stored(wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*rest)).alias("r"))
+    return chosen, stored(rows.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(FOLDS)).cast("int").alias("fold"), "r.*"))
 
 
-def associated(sample_rows: DataFrame, view: Callable[[dict], Iterable[str]], label: str, least: float = 30.0, most: int = 256) -> list[str]:
+def associated(rows: DataFrame, view: Callable[[dict], Iterable[str]], label: str, least: float = 30.0, most: int = 256) -> list[list[str]]:
     """The features that go most with a 0/1 label, by the log-likelihood ratio of the sample's counts.
 
-    Counts are summed per task and then by feature; features that occur in the
-    same documents are represented by the longest. At most ``most`` come back.
+    First those of all rows; then, for each fold, those of the rows of other
+    folds alone. Counts are summed per task and then by feature and fold;
+    features that occur in the same documents are represented by the longest.
+    At most ``most`` of each come back.
     """
-    names = sample_rows.columns
 
     def count(batches):
-        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+        seen: dict[str, list[int]] = defaultdict(lambda: [0] * (3 * FOLDS))
         for batch in bites(batches):
             for row in batch.to_pylist():
-                y, mark = row[label], hash_of(row)
+                y, mark, at = row[label], hash_of(row), 3 * row["fold"]
                 for f in view(row):
                     c = seen[f]
-                    c[0] += 1
-                    c[1] += y
-                    c[2] = (c[2] + mark) & 0x7FFFFFFFFFFFFFF
+                    c[at] += 1
+                    c[at + 1] += y
+                    c[at + 2] += mark
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in range(3))], names=["f", "n", "pos", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in range(3 * FOLDS))], names=["f", *names])
+
+    names = [f"{c}{k}" for k in range(FOLDS) for c in ("n", "pos", "mark")]
+    totals = {r.fold: (r.n, r.pos) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(label).alias("pos")).collect()}
+    counts = stored(rows.mapInArrow(count, "f string, " + ", ".join(f"{c} long" for c in names)).groupBy("f").agg(*[F.sum(c).alias(c) for c in names]))
+    return [_strongest(counts, totals, [k for k in range(FOLDS) if k != out], least, most) for out in (None, *range(FOLDS))]
+
 
-    total, pos = sample_rows.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
+def _strongest(counts: DataFrame, totals: dict[int, tuple[int, int]], folds: list[int], least: float, most: int) -> list[str]:
+    total, pos = (sum(totals.get(k, (0, 0))[i] for k in folds) for i in (0, 1))
     if not pos or pos == total:
         return []
-    counts = sample_rows.select(*names).mapInArrow(count, "f string, n long, pos long, mark long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("mark").alias("mark"))
+    summed = counts.select("f", *[sum((F.col(f"{c}{k}") for k in folds[1:]), F.col(f"{c}{folds[0]}")).alias(c) for c in ("n", "pos", "mark")])
 
     def term(k, e):
         return F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
 
     n, p, share = F.col("n"), F.col("pos"), pos / total
     ratio = 2 * (term(p, n * share) + term(n - p, n * (1 - share)) + term(pos - p, (total - n) * share) + term(total - n - (pos - p), (total - n) * (1 - share)))
-    strong = counts.where((n >= 3) & (n < total)).withColumn("g", ratio).where(F.col("g") >= least)
+    strong = summed.where((n >= 3) & (n < total)).withColumn("g", ratio).where(F.col("g") >= least)
     one = strong.groupBy("n", "pos", "mark").agg(F.max("g").alias("g"), F.max(F.struct(F.length("f").alias("l"), "f")).alias("m"))
     return [r.f for r in one.select("g", "m.f").orderBy(F.desc("g"), "f").limit(most).collect()]
 
@@ -94,23 +113,46 @@ def hash_of(row: dict) -> int:
     return zlib.crc32(repr(row.get("doc_id")).encode()) * 2654435761 % (1 << 40)
 
 
-def matrix(rows: DataFrame, view: Callable[[dict], Iterable[str]], features: list[str], keep: list[str]) -> tuple[np.ndarray, list[dict]]:
-    """The bounded sample's 0/1 matrix of ``features`` and its columns ``keep``, by id."""
+def bits(features: list[str], view: Callable[[dict], Iterable[str]]):
+    """A function from rows to the packed 0/1 rows of their matrix of ``features``."""
     places = {f: k for k, f in enumerate(features)}
 
+    def run(rows: list[dict]) -> list[bytes]:
+        out = []
+        for row in rows:
+            x = np.zeros(len(places), np.uint8)
+            x[[places[f] for f in places.keys() & set(view(row))]] = 1
+            out.append(np.packbits(x).tobytes())
+        return out
+
+    return run
+
+
+def unpacked(packed: list[bytes], width: int) -> np.ndarray:
+    if not width or not packed:
+        return np.zeros((len(packed), width))
+    return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1, count=width).astype(np.float64)
+
+
+def matrix(rows: DataFrame, view: Callable[[dict], Iterable[str]], features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bounded sample's 0/1 matrix of ``features``, its labels and its folds, in the order of the ids."""
+    pack = bits(features, view)
+
     def run(batches):
         for batch in bites(batches):
-            bits = []
-            for row in batch.to_pylist():
-                x = np.zeros(len(places), np.uint8)
-                x[[places[f] for f in places.keys() & set(view(row))]] = 1
-                bits.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(bits, pa.binary())], names=[*keep, "__bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(pack(batch.to_pylist()), pa.binary())], names=[*keep, "bits"])
+
+    keep = ["doc_id", "y", "fold"]
+    schema = rows.select(*keep, F.lit(None).cast("binary").alias("bits")).schema
+    got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: repr(r.doc_id))
+    return unpacked([bytes(r.bits) for r in got], len(features)), np.array([r.y for r in got], np.float64), np.array([r.fold for r in got], np.int64)
+
 
-    schema = rows.select(*keep, F.lit(None).cast("binary").alias("__bits")).schema
-    got = sorted((r.asDict() for r in rows.mapInArrow(run, schema).collect()), key=lambda r: repr(r[keep[0]]))
-    x = np.array([np.unpackbits(np.frombuffer(r.pop("__bits"), np.uint8), count=len(places)) if places else np.zeros(0, np.uint8) for r in got], np.float64).reshape(len(got), len(places))
-    return x, got
+def places_of(sets: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """All features of some sets, the first set's before the others', and each set's places among them."""
+    union = list(dict.fromkeys(f for fs in sets for f in fs))
+    at = {f: k for k, f in enumerate(union)}
+    return union, [np.array([at[f] for f in fs], np.int64) for fs in sets]
 
 
 def sigmoid(z):
@@ -151,14 +193,11 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, folds: int, extra: tuple | None = None) -> np.ndarray:
-    """Each row's probability by a model that has not seen it; ``extra``: rows added to every fit (x, y, weight)."""
-    fold = np.arange(len(y)) % folds
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, places: list[np.ndarray] | None = None, ridge: float = 1.0) -> np.ndarray:
+    """Each row's probability by a model fitted on the rows of the other folds; ``places``: a fold's own columns."""
     out = np.zeros(len(y))
-    for k in range(folds):
-        a, b = x[fold != k], y[fold != k]
-        s = np.ones(len(b))
-        if extra is not None and len(extra[1]):
-            a, b, s = np.r_[a, extra[0]], np.r_[b, extra[1]], np.r_[s, extra[2]]
-        out[fold == k] = predict(x[fold == k], fit(a, b, s))
+    for k in range(FOLDS):
+        own, here = (x if places is None else x[:, places[k]]), fold == k
+        if here.any():
+            out[here] = predict(own[here], fit(own[~here], y[~here], ridge=ridge))
     return out
