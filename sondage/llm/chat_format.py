@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sondage.llm._common import col, text_or_empty
+
 #: The template's control strings; each starts with the sign that is escaped in texts.
 OPEN, ESCAPED = "<", "<lt>"
 TURN, BODY, PART, END = "<turn>", "<body>", "<part>", "<end>\n"
@@ -41,8 +43,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     gives an empty result; extra columns are not read. A conversation is one
     output row, so its turns meet in one task, whatever the method.
     """
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_turn = turns.groupBy(F.col(conv_col).alias("__conv")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    one = F.struct(col(turn_col).alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text"))
+    by_turn = turns.groupBy(col(conv_col).alias("__conv")).agg(F.sort_array(F.collect_list(one)).alias("t"))
     changes = by_turn.withColumn("r", F.transform("t", lambda x: x["role"])).withColumn(
         "starts", F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("r", i) != F.element_at("r", F.greatest(i - 1, F.lit(1)))))
     )
@@ -82,19 +84,30 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def learnt_text(formatted: Column, loss_mask: Column) -> Column:
+    """All text under the loss mask, in order, unescaped: what a model is trained to say."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    read = F.aggregate(
+        loss_mask, start,
+        lambda done, x: F.struct((done["at"] + x["chars"]).alias("at"), F.when(x["loss"], F.concat(done["out"], F.array(F.substring(formatted, done["at"].cast("int"), x["chars"].cast("int"))))).otherwise(done["out"]).alias("out")),
+        lambda done: F.array_join(done["out"], ""),
+    )
+    return unescaped(read)
+
+
 def query_op3(spark, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and one of control strings, formatted, and read back from the output and its mask."""
     hard = r"\### Assistant: </turn> ok"
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], chats.schema)
-    out = format_chats(chats.unionByName(added)).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("t"))
-    learnt = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == LEARNT), lambda x: x["text"]), "")
+    out = format_chats(chats.unionByName(added)).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("t"), learnt_text(F.col("formatted"), F.col("loss_mask")).alias("learnt"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(learnt).cast("long").alias("loss_chars"),
-        F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 

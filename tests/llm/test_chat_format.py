@@ -1,5 +1,5 @@
 from pyspark.sql import functions as F
-from sondage.llm.chat_format import END, OPEN, format_chats, read_turns
+from sondage.llm.chat_format import END, OPEN, format_chats, learnt_text, read_turns
 
 SCHEMA = "conv_id long, turn long, role string, text string, turns string, formatted string"
 
@@ -20,7 +20,7 @@ def order(r):
 
 
 def test_round_trip_and_mask(spark):
-    got = {r.conv_id: r for r in format_chats(chats(spark, ROWS)).withColumn("t", read_turns(F.col("formatted"))).collect()}
+    got = {r.conv_id: r for r in format_chats(chats(spark, ROWS)).withColumn("t", read_turns(F.col("formatted"))).withColumn("learnt", learnt_text(F.col("formatted"), F.col("loss_mask"))).collect()}
     assert set(got) == {r[0] for r in ROWS}
     for conv, row in got.items():
         want = sorted((r for r in ROWS if r[0] == conv), key=order)
@@ -30,7 +30,7 @@ def test_round_trip_and_mask(spark):
         for x in row.loss_mask:
             learnt += row.formatted[at : at + x.chars] if x.loss else ""
             at += x.chars
-        assert learnt.replace("<lt>", OPEN) == "".join(r[3] or "" for r in want if r[2] == "assistant")
+        assert learnt.replace("<lt>", OPEN) == row.learnt == "".join(r[3] or "" for r in want if r[2] == "assistant")
 
 
 def test_neighbours_share_a_block(spark):
