@@ -67,6 +67,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_rows(df: DataFrame, run, **more: str) -> DataFrame:
+    """``df`` through a function of Arrow batches that keeps its columns, whatever their names, and adds ``more``, by name and type."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    schema = plain.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in more.items()]).schema
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *more)
+
+
 def tasks_for(df: DataFrame, task_bytes: int = 64 << 20) -> int:
     """Tasks for an exchange of ``df``: the session's number, or more by the input's bytes as its plan knows them."""
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm._common import partitions, stored
+from sondage.llm._common import bites, col, partitions, stored
 
 BITS = 32
 SHARES = tuple(2.0**-k for k in range(12, -1, -1))
@@ -99,9 +99,9 @@ def fit(sample: np.ndarray, trees: int = 10, wanted: float = 0.97, k: int = 10,
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): rows with an id and a vector that is not null, not zero, and holds finite numbers only."""
-    v = F.col(vec_col).cast("array<double>")
+    v = col(vec_col).cast("array<double>")
     fine = (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return vectors.where(col(id_col).isNotNull() & col(vec_col).isNotNull()).where(fine).select(col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _classes(rows: DataFrame, most: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _classes(rows: DataFrame, most: int) -> DataFrame:
 
     def partial(batches):
         held: dict[bytes, list[int]] = {}
-        for batch in batches:
+        for batch in bites(batches, 2048):
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = np.array(v, "<f8").tobytes()
                 ids = held.get(key)
@@ -131,6 +131,19 @@ def _classes(rows: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _as_bytes(rows: DataFrame) -> DataFrame:
+    """(v, id): vectors as their doubles' bytes."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(1)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            ends = np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else [], pa.binary()), batch.column(0)], names=["v", "id"])
+
+    return rows.mapInArrow(run, "v binary, id long")
+
+
 def _held(held: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "ids"])
 
@@ -174,8 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     fitting = F.octet_length("v") == 8 * dims
     here = classes.where(fitting)
     shards = max(1, -(-here.count() // shard_rows))
-    asked = _classes(usable(queries, id_col, vec_col), 1 << 30).where(fitting).select("v", F.explode("ids").alias("id")).distinct()
-    asked = stored(asked.select("v", F.array("id").alias("ids"), "id"))
+    asked = stored(_as_bytes(usable(queries, id_col, vec_col)).where(fitting).distinct().select("v", F.array("id").alias("ids"), "id"))
     blocks = max(1, -(-asked.count() // query_rows))
     tasks = min(shards, 8 * partitions(spark))
     index = _gathered(here.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(shards))), "__s", tasks, 0)
@@ -209,5 +221,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
 
 def query_op7(spark, sf_dir: str) -> DataFrame:
+    """The nearest of all ``embeddings`` for each whose id is divisible by 100."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sondage.llm._common import bites, col, pack_bytes, pack_ints, pack_ranks, pack_strings, tasks_for, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
+from sondage.llm._common import bites, col, map_rows, pack_bytes, pack_ints, pack_ranks, pack_strings, tasks_for, text_or_empty, unpack_bytes, unpack_ints, unpack_ranks, unpack_strings
 
 #: A block is closed when it holds so many distinct words or so many words in all.
 BLOCK_DISTINCT, BLOCK_WORDS = 800_000, 8_000_000
@@ -240,15 +240,19 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of its ids in turn; null ids give null."""
+    """``encoded`` with ``decoded``, the bytes of its ids in turn; null ids give null.
+
+    Rows and other columns, of any name, stay; an empty table gives an empty result.
+    """
+    at = encoded.columns.index(ids_col)
 
     def run(batches):
         table = token_bytes(path)
         for batch in bites(batches):
-            got = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+            got = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit(None).cast("binary").alias("decoded")).schema)
+    return map_rows(encoded, run, decoded="binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

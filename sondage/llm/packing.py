@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             got = batch_of(arrow, out)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *got.columns], names=[id_col, *arrow.names])
 
-    return docs.select(col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(cut, schema)
+    return docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 class Packer:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sondage.llm import _linear as L
-from sondage.llm._common import bites, col, quoted, text_or_empty
+from sondage.llm._common import bites, col, map_rows, quoted, text_or_empty
 
 #: The chain's order: kinds of toxicity, and at last the label itself.
 KINDS = 3
@@ -134,7 +134,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             p = _scores(batch.column(1).to_pylist(), places, chain)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= 0.5)], names=[id_col, *names, "toxic"])
 
-    return docs.select(col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _scores(texts: list[str], places: dict[str, int], chain: Chain) -> np.ndarray:
@@ -158,7 +158,7 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFra
             p = _scores([t or "" for t in batch.column(at).to_pylist()], places, chain)
             yield batch.filter(pa.array(p[:, -1] < 0.5)) if len(p) else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def query_op6(spark, sf_dir: str) -> DataFrame:
