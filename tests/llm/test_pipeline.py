@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from sondage.llm.exact_dedup import IGNORED
 from sondage.llm.secrets import redact, scan
 from test_ngram_join import brute
@@ -63,5 +64,19 @@ def test_stages(spark, tmp_path):
     assert all(sum(n for _, n in p) <= 4096 and sorted(p)[0][0] == 0 for p in places.values())
 
 
+def test_a_run_that_was_cut_short_goes_on(spark, tmp_path, monkeypatch):
+    rows = folder(spark, str(tmp_path))
+    calls = []
+    stages = [(name, lambda *a, f=f, name=name: calls.append(name) or f(*a)) for name, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:3], ("secret removal", lambda *a: 1 / 0), stages[4]])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/runs")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    got = corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/runs").collect()
+    assert calls == [name for name, _ in stages] and {r.doc_id for r in got} <= {r[0] for r in rows}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/runs").collect()} == {r.doc_id for r in got} and len(calls) == 5
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["4"]
+
+
 def test_run_registers_the_same_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near duplicates", "secret removal", "packing"]
