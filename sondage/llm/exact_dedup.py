@@ -85,7 +85,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.col("part") + scanned * F.pmod("row", F.lit(split)).cast("int")
     rows = digests.withColumn("p0", first.cast("int"))
     levels = [stored(_merged(rows.select("p0", *checks, _best().alias("best"), F.lit(1).cast("long").alias("n")), "p0", parts, checks))]
-    digits, stride = F.shiftrightunsigned("second", 1), 1
+    digits, stride = F.pmod("second", F.lit(parts)), 1
     for k, radix in enumerate(rounds):
         # the k-th digit of the partition's number gives way to the digest's
         mine, wanted = F.floor(F.col(f"p{k}") / stride) % radix, F.floor(digits / stride) % radix

@@ -42,6 +42,21 @@ def test_hot_group_and_empty_table(spark):
     assert exact_groups(empty).count() == 0 and exact_dedup(empty).count() == 0
 
 
+def test_rounds_deal_ranges_evenly(spark, monkeypatch):
+    """After the last round each partition holds its share of the digests, and a hot digest was met once per run."""
+    from sondage.llm import exact_dedup as X
+
+    seen = []
+    monkeypatch.setattr(X, "_merged", lambda rows, part, parts, checks, f=X._merged: seen.append((f(rows, part, parts, checks), part)) or seen[-1][0])
+    docs = documents(spark, [(k, f"text {k}" if k % 3 else "hot") for k in range(6000)]).repartition(40)
+    exact_groups(docs, fanout=4).count()
+    assert len(seen) == 4
+    last, part = seen[-1]
+    sizes = [r["count"] for r in last.groupBy(part).count().collect()]
+    assert sum(sizes) == 4001 and max(sizes) < 2 * 4001 / 40 and len(sizes) >= 40
+    assert seen[0][0].where("n > 1").count() == 40
+
+
 def test_no_python_in_the_plan(spark):
     plan = exact_groups(documents(spark, [(1, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("MapInArrow", "MapInPandas", "PythonUDF", "ArrowEval"))
