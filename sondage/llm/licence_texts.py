@@ -60,7 +60,7 @@ NOTICES = (
     ("ISC", "ISC License"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "The MIT License"),
     ("MIT", "MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),

@@ -110,20 +110,24 @@ def _scored(segments: DataFrame, idf: dict[str, float], rare: float) -> DataFram
 
     Among equal scores the name that sorts last counts. A word that no template
     has weighs as one seen nowhere; the table of the templates' words has a row
-    per word, whatever the corpus.
+    per word, whatever the corpus. A product with number -1 is the segment's
+    with itself.
     """
     known = [(name, {t: c * idf[t] for t, c in Counter(words).items()}) for name, words in template_tokens()]
-    entries = [F.struct(F.lit(t).alias("token"), F.lit(idf[t]).alias("idf"), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w[t]).alias("w")) for k, (_, w) in enumerate(known) if t in w]).alias("per")) for t in sorted(idf)]
+    product = lambda k, w: F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
+    entries = [F.struct(F.lit(t).alias("token"), F.lit(idf[t]).alias("idf"), F.array(product(-1, idf[t]), *[product(k, w[t]) for k, (_, w) in enumerate(known) if t in w]).alias("per")) for t in sorted(idf)]
     table = F.broadcast(segments.sparkSession.range(1).select(F.inline(F.array(*entries))))
     keys = ["part", "row", "kind", "seg"]
     counted = segments.select(*keys, "line", F.explode("words").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    weighed = counted.join(table, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("size"), F.min("line").alias("line"))
-    dots = weighed.where("per is not null").select(*keys, "w", F.explode("per").alias("p")).groupBy(*keys, F.col("p.k").alias("k")).agg(F.sum(F.col("w") * F.col("p.w")).alias("dot"))
+    alone = F.array(product(-1, rare))
+    weighed = counted.join(table, "token", "left").select(*keys, "line", "n", F.explode(F.coalesce("per", alone)).alias("p"), (F.col("n") * F.coalesce("idf", F.lit(rare))).alias("w"))
+    own = F.when(F.col("p.k") < 0, F.col("n") * F.col("w")).otherwise(F.col("w"))  # n * idf, for each of the n
+    dots = weighed.groupBy(*keys, F.col("p.k").alias("k")).agg(F.sum(own * F.col("p.w")).alias("dot"), F.sum("n").alias("n"), F.min("line").alias("line"))
+    each = dots.groupBy(*keys).agg(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "dot"))).alias("d"), F.max(F.when(F.col("k") < 0, F.struct(F.sqrt("dot").alias("norm"), "n", "line"))).alias("s"))
     sizes = F.array(*[F.lit(math.sqrt(sum(w * w for w in t.values()))) for _, t in known])
     names = _texts([name for name, _ in known])
-    score = F.round(F.col("dot") / (F.col("norm") * F.get(sizes, F.col("k"))), 6)
-    return dots.join(norms, keys).groupBy(*keys).agg(F.max(F.struct(score.alias("score"), F.get(names, F.col("k")).alias("license"))).alias("best"), F.first("size").alias("size"), F.first("line").alias("line"))
+    near = F.array_max(F.transform("d", lambda x: F.struct(F.round(x["dot"] / (F.col("s.norm") * F.get(sizes, x["k"])), 6).alias("score"), F.get(names, x["k"]).alias("license"))))
+    return each.select(*keys, near.alias("best"), F.col("s.n").alias("size"), F.col("s.line").alias("line"))
 
 
 def base_name(path: Column) -> Column:
