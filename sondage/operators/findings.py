@@ -25,15 +25,15 @@ def enabled(findings: DataFrame, disabled: DataFrame) -> DataFrame:
 
 
 def list_findings(findings: DataFrame, disabled: DataFrame, status: str = "active", file_path: str | None = None, severities: tuple[str, ...] = (), limit: int = 0, offset: int = 0) -> DataFrame:
-    """Filtered, worst first, newest first, ties by id; limit 0 gives all and ignores the offset."""
+    """Filtered, worst first, newest first, ties by id; limit 0 gives all, in this order, and ignores the offset."""
     rows = with_status(enabled(findings, disabled), status)
     if file_path is not None:
         rows = rows.where((F.col("file_path") == file_path) & (F.col("type") == "code"))
     if severities:
         rows = rows.where(F.lower("severity").isin(*[s.lower() for s in severities]))
-    if limit <= 0:
-        return rows
     ordered = rows.orderBy(severity_rank(F.col("severity")), F.desc("created_at"), "id")
+    if limit <= 0:
+        return ordered
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
@@ -56,12 +56,13 @@ def top_offenders(findings: DataFrame, each: int = 10, overall: int = 10) -> Dat
 
 
 def trend(history: DataFrame, limit: int, up_to: str | None = None) -> DataFrame:
-    """The last ``limit`` runs in order of time, up to one of them; 0 or less gives all."""
+    """The last ``limit`` runs, the newest first, up to one of them; 0 or less gives all, in the same order."""
     rows = history
     if up_to is not None:
         last = history.where(F.col("run") == up_to).select(F.col("created_at").alias("t"))
         rows = history.join(F.broadcast(last.limit(1)), history["created_at"] <= F.col("t")).drop("t")
-    return rows if limit <= 0 else rows.orderBy(F.desc("created_at"), F.desc("run")).limit(limit)
+    ordered = rows.orderBy(F.desc("created_at"), F.desc("run"))
+    return ordered if limit <= 0 else ordered.limit(limit)
 
 
 def resolution(added: DataFrame, resolved: DataFrame, now: Column, stale_days: int = 7) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -15,11 +17,21 @@ FORBIDDEN_LAYERS = (
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Computed once, in the session's checkpoint folder; a folder is made only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sondage-"))
-    return df.checkpoint(eager=True)
+    """Computed once, in the session's checkpoint folder; a folder is made only where none is named, on one machine.
+
+    What the optimizer knew of the rows' origin is dropped: carried from round
+    to round it would double with each join.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+        own = tempfile.mkdtemp(prefix="sondage-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def call_counts(calls: DataFrame) -> DataFrame:
@@ -99,51 +111,100 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(node, label): strongly connected components by rounds of forward and backward least labels.
-
-    In a round every open node takes the least label that reaches it forwards,
-    then, among nodes of one forward label, backwards from that label's node;
-    what both meet is a component and is closed. The rest starts a new round.
+    """(node, label): strongly connected components, labelled by their least node.
+
+    In a round every open node gets a priority by hash, and takes the first
+    node by it that reaches it, and the first that it reaches. Where both are
+    the same, it is of that node's component, which is closed. Edges between
+    nodes that differ in either lie in no component and go; so a path without
+    cycles falls into several shorter ones each round, and its ends, which no
+    edge enters or leaves, are components of their own. Edges to no node of
+    ``nodes`` don't count. An empty table gives an empty result.
     """
-    open_, closed = kept(nodes.select(F.col(key).alias("node")).distinct()), None
-    while not open_.isEmpty():
-        live = edges.where("source <> target").select("source", "target").distinct()
+    every = kept(nodes.select(F.col(key).alias("node")).distinct())
+    own = lambda end: every.select(F.col("node").alias(end))
+    live = kept(edges.where("source <> target").select("source", "target").distinct().join(own("source"), "source", "left_semi").join(own("target"), "target", "left_semi"))
+    found, number = [], 0
+    while True:
+        ends = live.select(F.col("source").alias("node")).distinct().join(live.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+        open_ = kept(ends)
+        if open_.isEmpty():
+            break
         live = kept(live.join(open_.select(F.col("node").alias("source")), "source", "left_semi").join(open_.select(F.col("node").alias("target")), "target", "left_semi"))
-        forward = _least_label(live, open_.select("node", F.col("node").alias("label")))
-        within = live.join(forward.select(F.col("node").alias("source"), F.col("label").alias("a")), "source").join(forward.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").where("a = b")
-        back = kept(within.select(F.col("target").alias("source"), F.col("source").alias("target")))
-        met = _spread(back, forward.where("node = label").select("node"))
-        found = kept(forward.join(met, "node", "left_semi"))
-        closed = found if closed is None else closed.unionByName(found)
-        open_ = kept(open_.join(found.select("node"), "node", "left_anti"))
-    return closed if closed is not None else nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
+        order = open_.select("node", F.xxhash64("node", F.lit(number)).alias("h"))
+        reaching = _first_reaching(live, order)
+        reached = _first_reaching(live.select(F.col("target").alias("source"), F.col("source").alias("target")), order)
+        both = kept(reaching.withColumnRenamed("root", "up").join(reached.withColumnRenamed("root", "down"), "node"))
+        found.append(both.where("up = down").select("node", F.col("up").alias("root")))
+        at = lambda end, k: both.where("up <> down").select(F.col("node").alias(end), F.col("up").alias(f"u{k}"), F.col("down").alias(f"d{k}"))
+        live = kept(live.join(at("source", 1), "source").join(at("target", 2), "target").where("u1 = u2 and d1 = d2").select("source", "target"))
+        number += 1
+    if not found:
+        return every.select("node", F.col("node").alias("label"))
+    closed = found[0]
+    for f in found[1:]:
+        closed = closed.unionByName(f)
+    least = closed.groupBy("root").agg(F.min("node").alias("label"))
+    labels = closed.join(least, "root").select("node", "label")
+    return every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _first_reaching(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """(node, root): the node of least priority ``h`` that reaches each node, itself included.
+
+    What reaches a node's root reaches the node, so roots travel twice as far
+    each round and a path of n nodes takes about log n rounds.
+    """
+    now = kept(order.select("node", "h", F.col("node").alias("root")))
+    while True:
+        came = edges.join(now.select(F.col("node").alias("source"), F.struct("h", "root").alias("r")), "source").groupBy(F.col("target").alias("node")).agg(F.min("r").alias("r"))
+        mine = F.struct("h", "root")
+        step = now.join(came, "node", "left").select("node", F.col("root").alias("old"), F.least(mine, F.coalesce("r", mine)).alias("near"))
+        far = now.select(F.col("node").alias("at"), F.struct("h", "root").alias("far"))
+        new = kept(step.join(far, F.col("near.root") == F.col("at")).select("node", "old", F.least("near", "far").alias("r")).select("node", "old", "r.h", "r.root"))
+        now = new.select("node", "h", "root")
+        if new.where("root <> old").isEmpty():
+            return now.select("node", "root")
+
+
+def _within(edges: DataFrame, labels: DataFrame, sizes) -> DataFrame:
+    """(source, target, label): edges inside components whose size ``sizes`` accepts."""
+    fit = labels.groupBy("label").agg(F.count("*").alias("size")).where(sizes(F.col("size"))).select("label")
+    own = labels.join(fit, "label")
+    joined = edges.where("source <> target").select("source", "target").distinct().join(own.select(F.col("node").alias("source"), "label"), "source")
+    return joined.join(own.select(F.col("node").alias("target"), F.col("label").alias("other")), "target").where("label = other").select("source", "target", "label")
 
 
-def _least_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The least label that reaches each node: by one edge, and then by its label's own label.
+def component_cycles(edges: DataFrame, labels: DataFrame, most: int = 5) -> DataFrame:
+    """All simple cycles of the components of up to ``most`` nodes: of five nodes there are 84 at the most."""
+    return short_cycles(kept(_within(edges, labels, lambda n: (n > 1) & (n <= most))), most)
 
-    What reaches a node's label reaches the node, so labels travel twice as far
-    each round and a chain of n nodes takes about log n rounds.
+
+def shortest_cycles(edges: DataFrame, labels: DataFrame, beyond: int = 5) -> DataFrame:
+    """(label, path, n): of each component of more than ``beyond`` nodes its shortest cycle, from its least node.
+
+    Of several the least path counts. Paths grow from every node by a step a
+    round, one path, the least, for each pair of ends; a component is done with
+    the first round that closes any, so a pair never has a second path.
     """
-    labels = kept(labels)
-    while True:
-        came = edges.join(labels.select(F.col("node").alias("source"), F.col("label").alias("l")), "source").groupBy(F.col("target").alias("node")).agg(F.min("l").alias("l"))
-        step = labels.join(came, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("near"))
-        far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        new = kept(step.join(far, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "old"))
-        labels = new.select("node", "label")
-        if new.where("label < old").isEmpty():
-            return labels
-
-
-def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Every node that the start nodes reach, and they themselves."""
-    seen = frontier = kept(start)
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = kept(step.join(seen, "node", "left_anti"))
-        seen = kept(seen.unionByName(frontier))
-    return seen
+    e = kept(_within(edges, labels, lambda n: n > beyond))
+    paths = seen = kept(e.where("target > source").select("label", F.col("source").alias("first"), F.col("target").alias("last"), F.array("source", "target").alias("path")))
+    out, n = None, 2
+    while not paths.isEmpty():
+        closing = e.select(F.col("source").alias("last"), F.col("target").alias("first"))
+        done = kept(paths.join(closing, ["last", "first"], "left_semi").groupBy("label").agg(F.min("path").alias("path")).withColumn("n", F.lit(n)))
+        out = done if out is None else out.unionByName(done)
+        going = paths.join(done.select("label"), "label", "left_anti")
+        step = going.join(e.select(F.col("source").alias("last"), "target"), "last").where(F.col("target") > F.col("first"))
+        new = step.select("label", "first", F.col("target").alias("last"), F.concat("path", F.array("target")).alias("path")).groupBy("label", "first", "last").agg(F.min("path").alias("path"))
+        paths = kept(new.join(seen.select("first", "last"), ["first", "last"], "left_anti"))
+        seen, n = kept(seen.select("first", "last").unionByName(paths.select("first", "last"))), n + 1
+    return out if out is not None else paths.select("label", "path", F.lit(0).alias("n")).limit(0)
+
+
+def truly_imported(imports: DataFrame, passed_on: DataFrame) -> DataFrame:
+    """Targets of which some importer takes a name that it doesn't merely pass on."""
+    return imports.join(passed_on.select("source", "name").distinct(), ["source", "name"], "left_anti").select("target").distinct()
 
 
 def short_cycles(edges: DataFrame, most: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ CLAIMS_SQL = """SELECT event_id AS id, event_type AS topic, 's' || CAST(user_id
 CASE WHEN event_id % 19 = 0 THEN ' ' ELSE 'value ' || CAST((user_id * 3 + event_id % 4) % 4 AS VARCHAR) END AS content,
 CASE event_id % 7 WHEN 0 THEN 'shipped' WHEN 1 THEN 'deferred' WHEN 2 THEN 'deprecated' WHEN 3 THEN 'out-of-scope' END AS status,
 CASE event_id % 6 WHEN 0 THEN 'adr' WHEN 1 THEN 'spec' WHEN 2 THEN 'readme' WHEN 3 THEN 'unknown' WHEN 4 THEN 'runbook' ELSE 'prd' END AS doc_kind,
-ts AS touched, 'docs/' || event_type || '-v' || CAST(user_id % 6 AS VARCHAR) || '.md' AS file FROM events WHERE event_id % 9 = 0"""
+ts AS touched, 'docs/' || event_type || '-v' || CAST(user_id % 6 AS VARCHAR) || '.md' AS file FROM events"""
 WITH = f"WITH c AS ({CLAIMS_SQL})"
 FULL = ", e AS (SELECT *, trim(content) <> '' AS full_, max(CASE WHEN trim(content) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY topic, subject) AS any_ FROM c), w AS (SELECT * FROM e WHERE full_ OR any_ = 0)"
 LIVE = FULL + ", v AS (SELECT *, status IS NULL OR status = 'shipped' AS live_, max(CASE WHEN status IS NULL OR status = 'shipped' THEN 1 ELSE 0 END) OVER (PARTITION BY topic, subject) AS some_ FROM w), l AS (SELECT * FROM v WHERE live_ OR some_ = 0)"

@@ -50,8 +50,8 @@ def _(spark, sf):
     return op.dangling(p.select(ref.alias("ref")).distinct(), known)
 
 
-ENUM_SPEC = "SELECT 'e' || CAST(p_size AS VARCHAR) AS name, array_agg(DISTINCT CAST(p_partkey % 7 AS VARCHAR)) AS values FROM part WHERE p_partkey < 150 AND p_size < 30 GROUP BY 1"
-ENUM_CODE = "SELECT CASE WHEN p_size % 2 = 0 THEN 'e' ELSE 'x' END || CAST(p_size AS VARCHAR) AS code_name, array_agg(DISTINCT CAST(p_partkey % 8 AS VARCHAR)) AS code_values FROM part WHERE p_partkey BETWEEN 60 AND 220 AND p_size < 30 GROUP BY 1"
+ENUM_SPEC = "SELECT 'e' || CAST(p_size AS VARCHAR) AS name, array_agg(DISTINCT CAST(p_partkey % (p_size % 5 + 3) AS VARCHAR)) AS values FROM part GROUP BY 1"
+ENUM_CODE = "SELECT CASE WHEN p_size % 2 = 0 THEN 'e' ELSE 'x' END || CAST(p_size AS VARCHAR) AS code_name, array_agg(DISTINCT CAST(p_partkey % (p_size % 6 + 3) AS VARCHAR)) AS code_values FROM part GROUP BY 1"
 ENUM_SQL = f"""WITH s AS ({ENUM_SPEC}), c AS ({ENUM_CODE}), p AS (SELECT name, code_name, len(list_intersect(values, code_values)) AS i, len(values) AS a, len(code_values) AS b FROM s, c),
 q AS (SELECT *, i * 1.0 / (a + b - i) AS overlap FROM p), n AS (SELECT name, code_name, overlap FROM q WHERE name = code_name),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY overlap DESC, code_name) AS k FROM q WHERE name NOT IN (SELECT name FROM n) AND i > 0 AND overlap >= 0.6 AND abs(a - b) <= 2 AND (a >= 3 OR overlap = 1)),
@@ -85,21 +85,21 @@ def _(spark, sf):
     return op.compare_transitions(known.select("entity", "from", "to"), code, F.col("from") == "purchase")
 
 
-REQUIRED = "SELECT p_brand AS entity, 'status' AS col, 'in' AS kind, array_agg(CAST(p_size % 4 AS VARCHAR)) AS vals FROM part WHERE p_partkey % 11 = 0 GROUP BY 1"
-FOUND = "SELECT p_brand AS entity, 'status' AS col, 'in' AS kind, p_container AS q, array_agg(CAST(p_size % 4 AS VARCHAR)) AS vals FROM (SELECT p_brand, p_size, p_partkey % 3 AS p_container, p_partkey FROM part) WHERE p_partkey % 13 = 0 GROUP BY 1, 4"
+REQUIRED = "SELECT p_brand AS entity, 'status' AS col, 'in' AS kind, array_agg(CAST(p_size % 4 AS VARCHAR)) AS vals FROM part WHERE p_type = 'ECONOMY' AND p_retailprice < 950 GROUP BY 1"
+FOUND = "SELECT p_brand AS entity, 'status' AS col, 'in' AS kind, p_container AS q, array_agg(CAST(p_size % 4 AS VARCHAR)) AS vals FROM (SELECT p_brand, p_size, p_partkey % 3 AS p_container, p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY 1, 4"
 
 
 @query("compare_predicates", f"""WITH r AS ({REQUIRED}), f AS ({FOUND}), w AS (SELECT entity, list_sort(list_distinct(vals)) AS want FROM r), h AS (SELECT entity, list(DISTINCT list_sort(list_distinct(vals))) AS haves FROM f GROUP BY 1)
 SELECT w.entity, 'status' AS "column", CASE WHEN haves IS NULL THEN 'predicate-missing' ELSE 'value-mismatch' END AS drift FROM w LEFT JOIN h ON w.entity = h.entity WHERE haves IS NULL OR NOT list_contains(haves, want)""")
 def _(spark, sf):
     p = table(spark, sf, "part").withColumn("v", (F.col("p_size") % 4).cast("string"))
-    r = p.where("p_partkey % 11 = 0").groupBy(F.col("p_brand").alias("entity")).agg(F.collect_list("v").alias("values"))
-    f = p.where("p_partkey % 13 = 0").groupBy(F.col("p_brand").alias("entity"), (F.col("p_partkey") % 3).alias("q")).agg(F.collect_list("v").alias("values"))
+    r = p.where("p_type = 'ECONOMY' and p_retailprice < 950").groupBy(F.col("p_brand").alias("entity")).agg(F.collect_list("v").alias("values"))
+    f = p.where("p_type = 'SMALL'").groupBy(F.col("p_brand").alias("entity"), (F.col("p_partkey") % 3).alias("q")).agg(F.collect_list("v").alias("values"))
     named = [x.withColumn("column", F.lit("status")).withColumn("kind", F.lit("in")) for x in (r, f)]
     return op.compare_predicates(*named)
 
 
-QUERIES_SQL = "SELECT DISTINCT l_shipmode AS tab, l_orderkey AS query_id, pred FROM (SELECT CAST(l_orderkey % 900 AS VARCHAR) AS l_shipmode, l_orderkey, 'p' || CAST(l_linenumber AS VARCHAR) AS pred FROM lineitem WHERE l_orderkey < 4000 AND l_quantity > 3)"
+QUERIES_SQL = "SELECT DISTINCT l_shipmode AS tab, l_orderkey AS query_id, pred FROM (SELECT CAST(l_orderkey % 3000 AS VARCHAR) AS l_shipmode, l_orderkey, 'p' || CAST(l_linenumber AS VARCHAR) AS pred FROM lineitem WHERE l_quantity > 3)"
 
 
 @query("consensus_predicates", f"""WITH q AS ({QUERIES_SQL}), n AS (SELECT tab, count(DISTINCT query_id) AS n FROM q GROUP BY 1), k AS (SELECT tab, pred, count(DISTINCT query_id) AS k FROM q GROUP BY 1, 2)
@@ -132,13 +132,13 @@ def _(spark, sf):
     return op.missing_channels(want, got)
 
 
-@query("compare_constants", """WITH s AS (SELECT DISTINCT 'App.' || p_brand AS name, CAST(p_size % 2 AS VARCHAR) AS want FROM part WHERE p_size < 4 AND p_partkey < 400),
-c AS (SELECT DISTINCT 'cfg.' || p_brand AS name, CAST(p_size % 3 AS VARCHAR) AS have FROM part WHERE p_size < 3 AND p_partkey < 300),
+@query("compare_constants", """WITH s AS (SELECT DISTINCT 'App.' || p_brand AS name, CAST(p_size % 2 AS VARCHAR) AS want FROM part WHERE p_size < 4),
+c AS (SELECT DISTINCT 'cfg.' || p_brand AS name, CAST(p_size % 3 AS VARCHAR) AS have FROM part WHERE p_size < 3 AND p_brand < 'Brand#2'),
 k AS (SELECT regexp_replace(lower(string_split(name, '.')[2]), '[^a-z0-9.]', '', 'g') AS last, list(DISTINCT have) AS h FROM c GROUP BY 1)
 SELECT name, CASE WHEN h IS NOT NULL THEN 1 END AS stage, CASE WHEN h IS NULL THEN 'no-code-counterpart' ELSE 'value-mismatch' END AS drift
 FROM s LEFT JOIN k ON regexp_replace(lower(string_split(name, '.')[2]), '[^a-z0-9.]', '', 'g') = last WHERE h IS NULL OR NOT list_contains(h, want)""")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    s = p.where("p_size < 4 and p_partkey < 400").select(F.concat(F.lit("App."), "p_brand").alias("name"), (F.col("p_size") % 2).cast("string").alias("value")).distinct()
-    c = p.where("p_size < 3 and p_partkey < 300").select(F.concat(F.lit("cfg."), "p_brand").alias("name"), (F.col("p_size") % 3).cast("string").alias("value")).distinct()
+    s = p.where("p_size < 4").select(F.concat(F.lit("App."), "p_brand").alias("name"), (F.col("p_size") % 2).cast("string").alias("value")).distinct()
+    c = p.where("p_size < 3 and p_brand < 'Brand#2'").select(F.concat(F.lit("cfg."), "p_brand").alias("name"), (F.col("p_size") % 3).cast("string").alias("value")).distinct()
     return op.compare_constants(s, c)

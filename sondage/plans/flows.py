@@ -35,19 +35,19 @@ def _(spark, sf):
     return op.services_of(table(spark, sf, "pages").select("url").distinct(), known)
 
 
-@query("imports_through_barrels", """WITH i AS (SELECT DISTINCT l_orderkey % 50 AS source, 1000 + l_suppkey % 4 AS target, l_linenumber AS name FROM lineitem WHERE l_orderkey < 300),
+@query("imports_through_barrels", """WITH i AS (SELECT DISTINCT l_orderkey % 50 AS source, 1000 + l_suppkey % 4 AS target, l_linenumber AS name FROM lineitem),
 r AS (SELECT 1000 + k % 4 AS barrel, n AS name, k * 10 + n AS origin FROM (SELECT unnest(range(0, 3)) AS k), (SELECT unnest(range(1, 5)) AS n))
 SELECT DISTINCT source, coalesce(origin, target) AS target, i.name FROM i LEFT JOIN r ON i.target = barrel AND i.name = r.name WHERE source <> coalesce(origin, target)""")
 def _(spark, sf):
-    i = table(spark, sf, "lineitem").where("l_orderkey < 300").select((F.col("l_orderkey") % 50).alias("source"), (1000 + F.col("l_suppkey") % 4).alias("target"), F.col("l_linenumber").alias("name")).distinct()
+    i = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("source"), (1000 + F.col("l_suppkey") % 4).alias("target"), F.col("l_linenumber").alias("name")).distinct()
     r = spark.createDataFrame([(1000 + k % 4, n, k * 10 + n) for k in range(3) for n in range(1, 5)], "barrel long, name int, origin long")
     return op.through_barrels(i, r)
 
 
-@query("edge_severities", f"""WITH f AS ({P.FINDINGS_SQL}), i AS ({P.IMPORTS_SQL}), w AS (SELECT user_id AS node, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS r FROM f WHERE id % 60 = 0 GROUP BY 1)
+@query("edge_severities", f"""WITH f AS ({P.FINDINGS_SQL}), i AS ({P.IMPORTS_SQL}), w AS (SELECT user_id AS node, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS r FROM f GROUP BY 1)
 SELECT source, target, CAST(least(a.r, b.r) AS INT) AS worst FROM i LEFT JOIN w a ON source = a.node LEFT JOIN w b ON target = b.node""")
 def _(spark, sf):
-    found = P.findings(spark, sf).where("id % 60 = 0").withColumn("node", F.col("user_id"))
+    found = P.findings(spark, sf).withColumn("node", F.col("user_id"))
     return op.worst_per_edge(P.imports(spark, sf), found, severity_rank(F.col("severity")))
 
 

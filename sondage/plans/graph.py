@@ -51,16 +51,20 @@ def _(spark, sf):
     return op.without(op.without(m, "module_id", i, "target"), "module_id", i, "source").select("module_id", "layer")
 
 
-@query("dead_methods", f"WITH p AS ({P.METHODS_SQL}) SELECT method_id FROM p WHERE NOT exported AND method_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("dead_methods", f"WITH p AS ({P.METHODS_SQL}) SELECT method_id FROM p WHERE NOT exported AND method_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 30)")
 def _(spark, sf):
-    used = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("method_id"))
+    used = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 30").select(F.col("l_partkey").alias("method_id"))
     return P.methods(spark, sf).where("not exported").join(used.distinct(), "method_id", "left_anti").select("method_id")
 
 
-@query("imported_not_reexported", f"{WITH} SELECT module_id FROM m WHERE EXISTS (SELECT 1 FROM i WHERE target = module_id AND source % 3 <> 0)")
+#: The names that an order's lines import from a supplier, and those that the order passes on.
+NAMED = "SELECT l_orderkey AS source, l_suppkey AS target, l_linenumber AS name FROM lineitem"
+PASSED = "SELECT l_orderkey AS source, l_linenumber AS name FROM lineitem WHERE l_returnflag = 'N'"
+
+
+@query("imported_not_reexported", f"WITH n AS ({NAMED}), r AS ({PASSED}) SELECT DISTINCT target FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = n.source AND r.name = n.name)")
 def _(spark, sf):
-    real = P.imports(spark, sf).where("source % 3 <> 0").select(F.col("target").alias("module_id"))
-    return P.modules(spark, sf).join(real, "module_id", "left_semi").select("module_id")
+    return op.truly_imported(P.view(spark, sf, NAMED), P.view(spark, sf, PASSED))
 
 
 @query("service_pairs", f"{WITH}{EDGES} SELECT source_service, target_service, count(*) AS imports, count(DISTINCT target) AS targets FROM e GROUP BY 1, 2")
@@ -106,13 +110,13 @@ def _(spark, sf):
     return op.innermost(P.view(spark, sf, POINTS), P.view(spark, sf, RANGES), first=True)
 
 
-@query("calls_to_methods", f"""WITH m AS ({P.MODULES_SQL}), p AS ({P.METHODS_SQL}), q AS (SELECT l_orderkey AS call_id, l_suppkey AS caller, l_partkey AS wanted FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40),
+@query("calls_to_methods", f"""WITH m AS ({P.MODULES_SQL}), p AS ({P.METHODS_SQL}), q AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS caller, l_partkey AS wanted FROM lineitem),
 c AS (SELECT call_id, method_id, 0 AS strategy FROM q JOIN p ON wanted = method_id AND caller = module_id
 UNION ALL SELECT call_id, method_id, 1 FROM q JOIN m a ON caller = a.module_id JOIN p ON wanted = method_id JOIN m b ON p.module_id = b.module_id AND a.service = b.service
 UNION ALL SELECT call_id, method_id, 2 FROM q JOIN p ON wanted = method_id WHERE exported)
 SELECT call_id, method_id, CAST(strategy AS INT) AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY strategy, method_id) AS k FROM c) WHERE k = 1""")
 def _(spark, sf):
-    q = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 40").select(F.col("l_orderkey").alias("call_id"), F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("wanted"))
+    q = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("wanted"))
     p, m = P.methods(spark, sf), P.modules(spark, sf)
     named = q.join(p, F.col("wanted") == F.col("method_id"))
     services = m.select("module_id", "service")
@@ -121,32 +125,38 @@ def _(spark, sf):
     return op.best_candidate([x.select("call_id", "method_id") for x in found], ["call_id"], ["method_id"])
 
 
-@query("reachable_modules", f"""{WITH}, RECURSIVE_START AS (SELECT 1) SELECT s AS start, node, min(depth) AS depth FROM (
-SELECT module_id AS s, module_id AS node, 0 AS depth FROM m WHERE module_id <= 3
-UNION ALL SELECT m.module_id, a.target, 1 FROM m JOIN i a ON a.source = m.module_id WHERE m.module_id <= 3
-UNION ALL SELECT m.module_id, b.target, 2 FROM m JOIN i a ON a.source = m.module_id JOIN i b ON b.source = a.target WHERE m.module_id <= 3
-UNION ALL SELECT m.module_id, c.target, 3 FROM m JOIN i a ON a.source = m.module_id JOIN i b ON b.source = a.target JOIN i c ON c.source = b.target WHERE m.module_id <= 3) GROUP BY 1, 2""".replace(", RECURSIVE_START AS (SELECT 1)", ""))
+@query("reachable_modules", f"""WITH RECURSIVE m AS ({P.MODULES_SQL}), i AS ({P.IMPORTS_SQL}), r(start, node, depth) AS (SELECT module_id, module_id, 0 FROM m
+UNION SELECT r.start, i.target, r.depth + 1 FROM r JOIN i ON r.node = i.source WHERE r.depth < 5) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2""")
 def _(spark, sf):
-    start = P.modules(spark, sf).where("module_id <= 3").select(F.col("module_id").alias("node"))
-    return op.reachable(P.imports(spark, sf), start, 3)
+    return op.reachable(P.imports(spark, sf), P.modules(spark, sf).select(F.col("module_id").alias("node")), 5)
+
 
+CLOSURE = f"""WITH RECURSIVE i AS ({P.IMPORTS_SQL}), m AS ({P.MODULES_SQL}), r(a, b) AS (SELECT module_id, module_id FROM m UNION SELECT r.a, i.target FROM r JOIN i ON r.b = i.source),
+c AS (SELECT x.a AS node, min(x.b) AS label FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), z AS (SELECT label, count(*) AS size FROM c GROUP BY 1),
+e AS (SELECT source, target, a.label, size FROM i JOIN c a ON a.node = source JOIN c b ON b.node = target JOIN z ON z.label = a.label WHERE a.label = b.label AND source <> target)"""
+PATHS = """, w(path, first, last, label, n) AS (SELECT [source, target], source, target, label, 2 FROM e WHERE {start} UNION ALL
+SELECT list_append(path, e.target), first, e.target, w.label, n + 1 FROM w JOIN e ON e.source = last WHERE n < {most} AND e.target > first AND NOT list_contains(path, e.target)),
+d AS (SELECT path, n, w.label FROM w JOIN e ON e.source = last AND e.target = first)"""
+SHOWN = lambda: F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")
 
-NATION_EDGES = "SELECT n_nationkey AS source, (n_nationkey * 7 + 1) % 25 AS target FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 5 + 2) % 25 FROM nation WHERE n_nationkey % 3 = 0"
+
+@query("strong_components", f"{CLOSURE} SELECT node, label FROM c")
+def _(spark, sf):
+    nodes = P.modules(spark, sf).select(F.col("module_id").alias("node"))
+    return op.components(P.imports(spark, sf), nodes, "node")
 
 
-@query("strong_components", f"""WITH RECURSIVE e AS ({NATION_EDGES}), r(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.a, e.target FROM r JOIN e ON r.b = e.source)
-SELECT x.a AS node, min(x.b) AS label FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+@query("short_cycles", CLOSURE + PATHS.format(start="size <= 5 AND source < target", most=5) + " SELECT array_to_string(path, ',') AS path, n FROM d")
 def _(spark, sf):
-    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
-    return op.components(P.view(spark, sf, NATION_EDGES), nodes, "node")
+    nodes = P.modules(spark, sf).select(F.col("module_id").alias("node"))
+    return op.component_cycles(P.imports(spark, sf), op.components(P.imports(spark, sf), nodes, "node"), 5).select(SHOWN(), "n")
 
 
-@query("short_cycles", f"""WITH e AS (SELECT DISTINCT source, target FROM ({NATION_EDGES}) WHERE source <> target)
-SELECT a.source || ',' || a.target AS path, 2 AS n FROM e a JOIN e b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target
-UNION ALL SELECT a.source || ',' || a.target || ',' || b.target, 3 FROM e a JOIN e b ON b.source = a.target JOIN e c ON c.source = b.target AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target""")
+@query("shortest_cycles", CLOSURE + PATHS.format(start="size > 5 AND source < target", most=30) + """ SELECT label, array_to_string(path, ',') AS path, n
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n, path) AS k FROM d) WHERE k = 1""")
 def _(spark, sf):
-    found = op.short_cycles(P.view(spark, sf, NATION_EDGES), 3)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "n")
+    nodes = P.modules(spark, sf).select(F.col("module_id").alias("node"))
+    return op.shortest_cycles(P.imports(spark, sf), op.components(P.imports(spark, sf), nodes, "node"), 5).select("label", SHOWN(), "n")
 
 
 @query("traced_flows")
@@ -156,11 +166,11 @@ def _(spark, sf):
 
 
 @query("flow_severity", f"""{WITH}, f AS ({P.FINDINGS_SQL}), s AS (SELECT m.module_id AS entry, m.module_id AS node FROM m UNION SELECT source, target FROM i), w AS (
-SELECT user_id AS node, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS r FROM f WHERE id % 40 = 0 GROUP BY 1)
+SELECT user_id AS node, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS r FROM f GROUP BY 1)
 SELECT entry, CAST(min(r) AS INT) AS worst FROM s LEFT JOIN w USING (node) GROUP BY 1""")
 def _(spark, sf):
     steps = P.modules(spark, sf).select(F.col("module_id").alias("entry"), F.col("module_id").alias("node")).union(P.imports(spark, sf).select("source", "target")).distinct()
-    found = P.findings(spark, sf).where("id % 40 = 0").withColumn("node", F.col("user_id"))
+    found = P.findings(spark, sf).withColumn("node", F.col("user_id"))
     return op.flow_severity(steps, found, severity_rank(F.col("severity")))
 
 

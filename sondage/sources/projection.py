@@ -57,10 +57,10 @@ SELECT l_suppkey AS caller, l_partkey % (SELECT max(s_suppkey) FROM supplier) +
 FROM lineitem
 """
 
-#: A sparse graph: one line in many is an import of a file by a file.
+#: A sparse graph with cycles and ends: a module of a fair balance imports one, of a high balance a second one.
 IMPORTS_SQL = """
-SELECT DISTINCT l_suppkey AS source, (l_partkey * 7) % (SELECT max(s_suppkey) FROM supplier) + 1 AS target
-FROM lineitem WHERE l_quantity > 48 AND l_linenumber = 1 AND l_tax > 0.06
+SELECT s_suppkey AS source, (s_suppkey * 7 + s_nationkey) % (SELECT max(s_suppkey) FROM supplier) + 1 AS target FROM supplier WHERE s_acctbal > 2000
+UNION SELECT s_suppkey, (s_suppkey * 11 + s_nationkey * 5) % (SELECT max(s_suppkey) FROM supplier) + 1 FROM supplier WHERE s_acctbal > 5000
 """
 
 
