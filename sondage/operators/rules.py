@@ -44,15 +44,16 @@ def run_rules(nodes: DataFrame, rules=RULES, disabled: tuple[str, ...] = ()) ->
     return hit.select("f.rule_key", "f.severity", "f.title", "path", "line_start", "line_end", F.col("name").alias("symbol"))
 
 
-def inside(nodes: DataFrame, inner: str, outer: tuple[str, ...]) -> DataFrame:
+def inside(nodes: DataFrame, inner: str, outer: tuple[str, ...], width: int = 256) -> DataFrame:
     """Nodes of one type with the innermost node of the outer types that encloses them.
 
-    The interval of an ancestor encloses its descendants', so this is a join on
-    the file and an interval condition, and the deepest ancestor wins.
+    The interval of an ancestor encloses its descendants', and the deepest
+    ancestor wins. Intervals go to the stretches of ``width`` places that they
+    cover, so that a node meets only those around it and not all of its file.
     """
-    a = nodes.where(F.col("node_type") == inner).select("path", "node", F.col("lft").alias("at"))
-    b = nodes.where(F.col("node_type").isin(*outer)).select("path", F.col("node").alias("outer"), "lft", "rgt", "depth")
-    return a.join(b, "path").where("lft < at and at < rgt").groupBy("path", "node").agg(F.max_by("outer", "depth").alias("outer"))
+    a = nodes.where(F.col("node_type") == inner).select("path", "node", F.col("lft").alias("at"), F.floor(F.col("lft") / width).alias("stretch"))
+    b = nodes.where(F.col("node_type").isin(*outer)).select("path", F.col("node").alias("outer"), "lft", "rgt", "depth", F.explode(F.sequence(F.floor(F.col("lft") / width), F.floor(F.col("rgt") / width))).alias("stretch"))
+    return a.join(b, ["path", "stretch"]).where("lft < at and at < rgt").groupBy("path", "node").agg(F.max_by("outer", "depth").alias("outer"))
 
 
 def context_batches(files: DataFrame, most_chars: int = 100_000, lanes: int = 64) -> DataFrame:

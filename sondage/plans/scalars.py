@@ -8,7 +8,7 @@ from sondage.functions import scalars as S
 from sondage.operators import classify as C
 from sondage.registry import query
 from sondage.session import table
-from sondage.sources import projection as P
+from sondage.sources import code, projection as P
 
 FILES = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'src' WHEN 1 THEN 'api/v1' WHEN 2 THEN 'tests' ELSE 'docs/adr' END || '/' || event_type || CAST(user_id AS VARCHAR) ||
 CASE event_id % 7 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.test.js' WHEN 3 THEN '.cs' WHEN 4 THEN '.g.cs' WHEN 5 THEN '.md' ELSE '.tsx' END AS path,
@@ -30,9 +30,13 @@ def _(spark, sf):
     return P.view(spark, sf, FILES).where(C.is_test(F.col("path"))).select("event_id")
 
 
-@query("generated_sources", f"WITH f AS ({FILES}) SELECT event_id FROM f WHERE regexp_matches(path, '\\.(g|generated|designer)\\.[a-z]+$')")
+HEADS = f"WITH f AS ({FILES}), t AS (SELECT event_id, path, CASE WHEN user_id % 6 = 0 THEN '// <AUTO-GENERATED/> by a tool' ELSE 'using x;' END AS text FROM f)"
+
+
+@query("generated_sources", f"{HEADS} SELECT event_id FROM t WHERE regexp_matches(path, '\\.(g|generated|designer)\\.[a-z]+$') OR text LIKE '%<AUTO-GENERATED%'")
 def _(spark, sf):
-    return P.view(spark, sf, FILES).where(C.is_generated(F.col("path"), F.lit(""))).select("event_id")
+    text = F.when(F.col("user_id") % 6 == 0, "// <AUTO-GENERATED/> by a tool").otherwise("using x;")
+    return P.view(spark, sf, FILES).where(C.is_generated(F.col("path"), text)).select("event_id")
 
 
 @query("minified_pages", "SELECT page_id FROM pages WHERE strlen(html) >= 15360 AND length(substr(html, 1, 8192)) - length(replace(substr(html, 1, 8192), chr(10), '')) < 4")
@@ -40,9 +44,13 @@ def _(spark, sf):
     return table(spark, sf, "pages").where(C.looks_minified(F.col("html"))).select("page_id")
 
 
-@query("doc_kinds", f"""WITH f AS ({FILES}) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN path LIKE 'docs/adr/%' THEN 'adr' ELSE 'unknown' END AS kind FROM f) GROUP BY 1""")
+DOCS = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'docs/specs/' WHEN 1 THEN 'docs/adr/' WHEN 2 THEN 'rfcs/' ELSE 'docs/' END || CASE event_id % 9 WHEN 3 THEN 'PRD-' WHEN 4 THEN 'runbook-' WHEN 5 THEN 'README-' WHEN 6 THEN 'ADR-7-' ELSE '' END || event_type || '.md' AS path,
+CASE WHEN event_id % 9 = 7 THEN 'The Design of it' ELSE 'text' END AS text, event_id % 9 AS k FROM events"""
+
+
+@query("doc_kinds", f"SELECT ['spec', 'adr', 'rfc', 'prd', 'runbook', 'readme', 'adr', 'design-note', 'unknown'][k + 1] AS kind, count(*) AS n FROM ({DOCS}) GROUP BY 1")
 def _(spark, sf):
-    return P.view(spark, sf, FILES).groupBy(C.doc_kind(F.col("path"), F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
+    return P.view(spark, sf, DOCS).groupBy(C.doc_kind(F.col("path"), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 TREE = {"kind": "all-of", "of": [{"kind": "any-of", "of": [{"kind": "path-glob", "value": "api/**"}, {"kind": "tag", "value": "purchase"}]}, {"kind": "none-of", "of": [{"kind": "method", "value": "delete"}, {"kind": "path-regex", "value": "[.]cs$"}]}]}
@@ -103,15 +111,18 @@ def _(spark, sf):
     return x.groupBy("kind").agg(F.countDistinct("driver").alias("drivers"), F.array_join(F.array_sort(F.collect_set("service")), ",").alias("services"))
 
 
-@query("layers_of_files", """SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 'api,data' WHEN s_suppkey % 2 = 0 THEN 'data' WHEN s_suppkey % 3 = 0 THEN 'api' ELSE 'service' END AS layers FROM supplier""")
+@query("layers_of_files", """WITH x AS (SELECT s_suppkey, s_suppkey % 3 = 0 OR (s_suppkey % 5 = 0 AND s_nationkey > 5) AS api, s_suppkey % 2 = 0 AS data, s_suppkey % 7 = 0 AS ext FROM supplier)
+SELECT s_suppkey, CASE WHEN api OR data OR ext THEN array_to_string(list_filter([CASE WHEN api THEN 'api' END, CASE WHEN data THEN 'data' END, CASE WHEN ext THEN 'external' END], lambda v: v IS NOT NULL), ',') ELSE 'service' END AS layers FROM x""")
 def _(spark, sf):
     s = table(spark, sf, "supplier")
-    imports = F.array(F.when(F.col("s_suppkey") % 2 == 0, "prisma").otherwise("lodash"), F.when(F.col("s_suppkey") % 3 == 0, "express").otherwise("zod"))
-    return s.select("s_suppkey", F.array_join(C.layers(imports, F.lit("src/x.ts"), F.lit(0)), ",").alias("layers"))
+    pick = lambda n, a, b: F.when(F.col("s_suppkey") % n == 0, a).otherwise(b)
+    imports = F.array(pick(2, "prisma", "lodash"), pick(3, "express", "zod"), pick(7, "axios", "fs"))
+    return s.select("s_suppkey", F.array_join(C.layers(imports, pick(5, "src/api/x.ts", "src/x.ts"), F.when(F.col("s_nationkey") > 5, 2).otherwise(0)), ",").alias("layers"))
 
 
-@query("markdown_blocks", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
-SELECT doc_id, k - 1 AS line, sha256(line) AS block FROM l WHERE line <> ''""")
+@query("markdown_blocks", r"""WITH t AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || '## '), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM t),
+v AS (SELECT *, length(regexp_extract(l, '^(#{1,6})\s', 1)) AS level FROM l), c AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM v)
+SELECT doc_id, CAST(block AS BIGINT) AS block, max(level) AS level, sha256(string_agg(l, chr(10) ORDER BY k)) AS id FROM c GROUP BY 1, 2""")
 def _(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "l")).where("l <> ''")
-    return lines.select("doc_id", F.col("k").cast("long").alias("line"), F.sha2(F.col("l").cast("binary"), 256).alias("block"))
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## ")).alias("text"))
+    return code.markdown_blocks(files).select(F.col("path").alias("doc_id"), "block", "level", "id")

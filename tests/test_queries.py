@@ -49,3 +49,27 @@ def test_nothing_imports_the_optional_subpackage():
         if "/llm/" not in path:
             with open(path) as f:
                 assert "sondage.llm" not in f.read(), path
+
+
+@pytest.mark.parametrize("left", ["", "pipeline"])
+def test_the_entry_works_without_the_optional_subpackage(tmp_path, left):
+    """Copied without the subpackage (and its pipeline), the entry registers the core queries; a broken one isn't hidden."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/sondage", tmp_path / "sondage", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if left:
+        (tmp_path / "corpus_pipeline.py").write_text("from sondage.llm import packing\n")
+        (tmp_path / "sondage/llm/__pycache__").mkdir(parents=True)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(ask, cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert list(map(int, out)) == [len(catalog.QUERIES), len(catalog.ORACLES)]
+    (tmp_path / "sondage/llm").mkdir(exist_ok=True)
+    (tmp_path / "sondage/llm/__init__.py").write_text("")
+    (tmp_path / "sondage/llm/queries.py").write_text("import no_such_library\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "no_such_library" in subprocess.run(ask, cwd=tmp_path, env=env, capture_output=True, text=True).stderr
