@@ -15,6 +15,9 @@ FORBIDDEN_LAYERS = (
     ("external", "api", "external-layer-depends-on-api"),
 )
 
+#: Times that edges which can lie on no cycle are dropped before a round.
+TRIMS = 2
+
 
 def kept(df: DataFrame) -> DataFrame:
     """Computed once, in the session's checkpoint folder; a folder is made only where none is named, on one machine.
@@ -126,18 +129,16 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     live = kept(edges.where("source <> target").select("source", "target").distinct().join(own("source"), "source", "left_semi").join(own("target"), "target", "left_semi"))
     found, number = [], 0
     while True:
-        ends = live.select(F.col("source").alias("node")).distinct().join(live.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
-        open_ = kept(ends)
-        if open_.isEmpty():
+        for _ in range(TRIMS):  # edges from a node that none enters, or to one that none leaves, lie on no cycle
+            inner = live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            live = inner.join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+        live = kept(live)
+        if live.isEmpty():
             break
-        live = kept(live.join(open_.select(F.col("node").alias("source")), "source", "left_semi").join(open_.select(F.col("node").alias("target")), "target", "left_semi"))
-        order = open_.select("node", F.xxhash64("node", F.lit(number)).alias("h"))
-        reaching = _first_reaching(live, order)
-        reached = _first_reaching(live.select(F.col("target").alias("source"), F.col("source").alias("target")), order)
-        both = kept(reaching.withColumnRenamed("root", "up").join(reached.withColumnRenamed("root", "down"), "node"))
+        both = _first_reaching(live, number)
         found.append(both.where("up = down").select("node", F.col("up").alias("root")))
         at = lambda end, k: both.where("up <> down").select(F.col("node").alias(end), F.col("up").alias(f"u{k}"), F.col("down").alias(f"d{k}"))
-        live = kept(live.join(at("source", 1), "source").join(at("target", 2), "target").where("u1 = u2 and d1 = d2").select("source", "target"))
+        live = live.join(at("source", 1), "source").join(at("target", 2), "target").where("u1 = u2 and d1 = d2").select("source", "target")
         number += 1
     if not found:
         return every.select("node", F.col("node").alias("label"))
@@ -149,22 +150,25 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _first_reaching(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """(node, root): the node of least priority ``h`` that reaches each node, itself included.
+def _first_reaching(edges: DataFrame, number: int) -> DataFrame:
+    """(node, up, down): of the nodes that reach each node, and that it reaches, itself included, the first by a hash.
 
     What reaches a node's root reaches the node, so roots travel twice as far
-    each round and a path of n nodes takes about log n rounds.
+    each round and a path of n nodes takes about log n rounds. Both directions
+    go through the same rounds, as edges of two kinds.
     """
-    now = kept(order.select("node", "h", F.col("node").alias("root")))
+    both = kept(edges.select(F.lit(0).alias("way"), "source", "target").unionByName(edges.select(F.lit(1).alias("way"), F.col("target").alias("source"), F.col("source").alias("target"))))
+    nodes = both.select("way", F.explode(F.array("source", "target")).alias("node")).distinct()
+    now = kept(nodes.select("way", "node", F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("root")).alias("r")))
     while True:
-        came = edges.join(now.select(F.col("node").alias("source"), F.struct("h", "root").alias("r")), "source").groupBy(F.col("target").alias("node")).agg(F.min("r").alias("r"))
-        mine = F.struct("h", "root")
-        step = now.join(came, "node", "left").select("node", F.col("root").alias("old"), F.least(mine, F.coalesce("r", mine)).alias("near"))
-        far = now.select(F.col("node").alias("at"), F.struct("h", "root").alias("far"))
-        new = kept(step.join(far, F.col("near.root") == F.col("at")).select("node", "old", F.least("near", "far").alias("r")).select("node", "old", "r.h", "r.root"))
-        now = new.select("node", "h", "root")
-        if new.where("root <> old").isEmpty():
-            return now.select("node", "root")
+        came = both.join(now.select("way", F.col("node").alias("source"), F.col("r").alias("c")), ["way", "source"]).groupBy("way", F.col("target").alias("node")).agg(F.min("c").alias("c"))
+        step = now.join(came, ["way", "node"], "left").select("way", "node", F.col("r.root").alias("old"), F.least("r", F.coalesce("c", "r")).alias("near"))
+        far = now.select("way", F.col("node").alias("at"), F.col("r").alias("far"))
+        new = kept(step.withColumn("at", F.col("near.root")).join(far, ["way", "at"]).select("way", "node", "old", F.least("near", "far").alias("r")))
+        now = new.select("way", "node", "r")
+        if new.where("r.root <> old").isEmpty():
+            up, down = (now.where(F.col("way") == k).select("node", F.col("r.root").alias(name)) for k, name in ((0, "up"), (1, "down")))
+            return kept(up.join(down, "node"))
 
 
 def _within(edges: DataFrame, labels: DataFrame, sizes) -> DataFrame:
