@@ -9,7 +9,7 @@ from sondage.operators import chains, claims, states, verify
 from sondage.plans.claims import CLAIMS_SQL, CONFLICTS
 from sondage.registry import query
 from sondage.session import table
-from sondage.sources import projection as P
+from sondage.sources import javascript, projection as P
 
 #: Fields of entities, by brand and size; assignments, by name and size.
 FIELDS = "SELECT DISTINCT lower(p_type) AS entity, 'f' || CAST(p_size AS VARCHAR) AS field, p_size % 3 = 0 AS immutable, p_size % 5 = 0 AS lowercase FROM part"
@@ -242,3 +242,27 @@ def _(spark, sf):
     open_ = claims.conflicts(rows, claims.settle(rows))
     taken = open_.where("conflict_id like '1%'").select("conflict_id").distinct().select("conflict_id", F.lit(-1).cast("long").alias("picked"), F.lit(1).alias("resolved_at"))
     return chains.remerge(c, known, taken)
+
+
+def _scripts(spark, sf):
+    """Each module as a file that imports what its edges say, calls it, and asks a service for a route of its own."""
+    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    line = F.concat(F.lit("import { run as "), name("target"), F.lit(" } from './"), name("target"), F.lit("';\n"))
+    told = P.imports(spark, sf).groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("imports"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  "), name("target"), F.lit("(x); // not("), name("target"), F.lit(")\n")))), "").alias("calls"))
+    m = P.modules(spark, sf).join(told, F.col("module_id") == F.col("source"), "left")
+    body = F.concat(F.coalesce("imports", F.lit("")), F.lit("export async function run(x) {\n"), F.coalesce("calls", F.lit("")), F.lit("}\nrouter.get('/"), name("module_id"), F.lit("/:id', run);\n"))
+    return m.select(F.concat(F.lit("src/"), name("module_id"), F.lit(".ts")).alias("path"), body.alias("text"))
+
+
+@query("javascript_imports", f"WITH i AS ({P.IMPORTS_SQL}), m AS ({P.MODULES_SQL}) SELECT 'src/m' || source || '.ts' AS source, 'src/m' || target || '.ts' AS target, 'run' AS name FROM i WHERE target IN (SELECT module_id FROM m)")
+def _(spark, sf):
+    files = _scripts(spark, sf)
+    return javascript.import_targets(javascript.read_javascript(files), files)
+
+
+@query("javascript_facts", f"""WITH i AS ({P.IMPORTS_SQL}), m AS ({P.MODULES_SQL}), n AS (SELECT source, count(*) AS n FROM i GROUP BY 1), x AS (SELECT 'src/m' || module_id || '.ts' AS path, module_id, CAST(coalesce(n, 0) AS INT) AS n FROM m LEFT JOIN n ON module_id = source)
+SELECT path, 'function' AS kind, 'run' AS name, n + 1 AS line_start, 2 * n + 2 AS line_end FROM x UNION ALL SELECT path, 'route', 'GET', 2 * n + 3, 2 * n + 3 FROM x
+UNION ALL SELECT 'src/m' || i.source || '.ts', 'call', 'm' || target, CAST(n + 1 + row_number() OVER (PARTITION BY i.source ORDER BY 'm' || target) AS INT), CAST(n + 1 + row_number() OVER (PARTITION BY i.source ORDER BY 'm' || target) AS INT) FROM i JOIN n ON i.source = n.source WHERE i.source IN (SELECT module_id FROM m)""")
+def _(spark, sf):
+    facts = javascript.read_javascript(_scripts(spark, sf))
+    return facts.where("kind in ('function', 'route') or (kind = 'call' and name <> 'router.get')").select("path", "kind", "name", "line_start", "line_end")

@@ -106,3 +106,28 @@ def test_mounted_routes_at_any_depth(spark):
     got = graph.mounted_routes(spark.createDataFrame(mounts, "parent int, child int, path string"), spark.createDataFrame(routes, "router int, route string"))
     deep = "".join(f"/m{k}" for k in range(12)) + "/deep"
     assert sorted(map(tuple, got.collect())) == [(0, "/root"), (12, deep), (12, "/short/deep"), (31, "/loop"), (40, "/alone")]
+
+
+def test_traced_flows_against_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(60)})
+    calls, entries = spark.createDataFrame(edges, "source long, target long"), [0, 3, 17, 29]
+    want = set()
+    for e in entries:
+        seen, order = {}, []
+
+        def walk(node, depth, seen=seen, order=order):
+            if node in seen:
+                return
+            seen[node] = depth
+            order.append((node, depth))
+            for a, b in edges:
+                if a == node:
+                    walk(b, depth + 1)
+
+        walk(e, 0)
+        want |= {(e, k, node, depth) for k, (node, depth) in enumerate(order)}
+    got = graph.traced_flows(calls, spark.createDataFrame([(e,) for e in entries], "node long"), depth=40)
+    assert {tuple(r) for r in got.collect()} == want
