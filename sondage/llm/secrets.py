@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sondage.llm._common import batch_of, bites, col, map_rows, quoted, text_or_empty
+from sondage.llm._inflate import inflated_kinds
 
 #: The kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex")
@@ -44,8 +44,6 @@ PLAIN = frozenset(bytes((c,)) for c in (9, 10, 13, *range(32, 127)))
 #: How compressed data starts: zstd, gzip, or a header of zlib's without a dictionary.
 ZLIB = [bytes((c, f)) for c in range(8, 128, 16) for f in range(256) if not f & 32 and (c << 8 | f) % 31 == 0]
 MAGIC = re.compile(b"|".join(re.escape(x) for x in (b"\x28\xb5\x2f\xfd", b"\x1f\x8b\x08", *ZLIB)), re.DOTALL)
-#: Compressed bytes that are read at once, inflated bytes that are scanned at once, and by how many such windows overlap.
-PIECE, WINDOW, OVERLAP = 1 << 16, 1 << 22, 1 << 18
 #: Escapes of an escape's own first sign, so many that undoing them one at a time would take the square of their number.
 NESTED = re.compile(r"%(?:25){9,}|\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}){9,}|&(?:#0{0,4}38;|#x0{0,4}26;){9,}")
 #: How many of them are left.
@@ -72,42 +70,6 @@ def _utf8(raw: bytes) -> str | None:
     return text if text and odd <= len(text) // 10 else None
 
 
-def _windows(raw: memoryview):
-    """Inflated gzip, zlib or zstd data in windows that overlap, as (text, None); last, (None, compressed bytes, if they end).
-
-    A window is all that is held at a time, however much the data inflates to.
-    """
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        engine, error = zstandard.ZstdDecompressor().decompressobj(), zstandard.ZstdError
-        feed = lambda data: [engine.decompress(data)]
-    else:
-        engine, error = zlib.decompressobj(47), zlib.error
-
-        def feed(data):
-            while data and not engine.eof:
-                yield engine.decompress(data, WINDOW)
-                data = engine.unconsumed_tail
-
-    held, at, fresh = bytearray(), 0, False
-    try:
-        while at < len(raw) and not engine.eof:
-            step = PIECE if engine.__class__.__module__ == "zlib" else PIECE >> 6
-            data, at = raw[at : at + step], at + step
-            for got in feed(data):
-                held += got
-                fresh |= bool(got)
-                while len(held) >= WINDOW:
-                    yield bytes(held[:WINDOW]).decode("utf-8", "replace"), None
-                    del held[: WINDOW - OVERLAP]
-    except error:
-        pass
-    if fresh and held:
-        yield bytes(held).decode("utf-8", "replace"), None
-    yield None, min(at, len(raw)) - len(engine.unused_data) if engine.eof else None
-
-
 def _escapes(text: str, starts, ends, pattern, decode):
     """The whole text with escapes undone in place, and each character's stretch of the original."""
     out, first, last, at = [], [], [], 0
@@ -138,22 +100,16 @@ def _code_point(m: re.Match) -> str | None:
 def _zipped(raw: bytes):
     """Compressed stretches that start anywhere in the bytes, as (start, end, kinds of the secrets within).
 
-    All of a stretch has one place, so of its windows only the kinds found in them are kept.
+    All of a stretch has one place, so only the kinds found in it are kept; it is read as it is inflated.
     """
     view, at = memoryview(raw), 0
     for m in MAGIC.finditer(raw):
         if m.start() < at:
             continue
-        kinds, seen, any_ = set(), set(), False
-        for text, used in _windows(view[m.start() :]):
-            if text is not None:
-                any_ = True
-                if (digest := _digest(text)) not in seen:
-                    seen.add(digest)
-                    kinds |= kinds_within(text)
-            elif any_:
-                yield m.start(), m.start() + used if used else len(raw), frozenset(kinds)
-                at = m.start() + (used or 0)
+        kinds, used, any_ = inflated_kinds(view[m.start() :])
+        if any_:
+            yield m.start(), m.start() + used if used else len(raw), kinds
+            at = m.start() + (used or 0)
 
 
 def _bytes(run: str) -> bytes:
