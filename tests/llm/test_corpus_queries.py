@@ -52,5 +52,5 @@ def test_the_pipeline_runs(spark, sf):
     assert rows and {r.doc_id for r in rows} <= docs and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
