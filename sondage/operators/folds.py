@@ -1,119 +1,11 @@
-"""Folds of structured claims: the passes that merge contents instead of choosing one.
-
-Contents are JSON texts. A group of claims on one subject is as large as the
-number of its sources; it is folded in one Arrow group.
-"""
+"""Names of functions: where they are bound and used."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.operators.rules import inside
 
-FOLDED = "topic string, subject string, how string, content string, sources array<long>"
-
-
-def canonical(value) -> str:
-    """JSON with sorted keys and no spaces: equal values give equal texts."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def covers(large, small) -> bool:
-    """Whether ``large`` says all that ``small`` says: fields by name, lists as sets."""
-    if isinstance(large, dict) and isinstance(small, dict):
-        return all(k in large and covers(large[k], v) for k, v in small.items())
-    if isinstance(large, list) and isinstance(small, list):
-        return all(any(covers(x, v) for x in large) for v in small)
-    return canonical(large) == canonical(small)
-
-
-def merged(a, b, later_wins: bool):
-    """Both contents in one; None where they contradict and the later one may not win."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        out = dict(a)
-        for k, v in b.items():
-            if k in out:
-                v = merged(out[k], v, later_wins)
-                if v is None:
-                    return None
-            out[k] = v
-        return out
-    if canonical(a) == canonical(b):
-        return a
-    return b if later_wins else None
-
-
-def richness(value) -> int:
-    """The number of leaves that hold something."""
-    if isinstance(value, dict):
-        return sum(map(richness, value.values()))
-    if isinstance(value, list):
-        return sum(map(richness, value))
-    return int(value not in (None, "", False))
-
-
-def fold(rows: list[tuple]) -> list[tuple]:
-    """(how, content, ids) of what is left of a group's (id, file, topic, kind, content), in order of time.
-
-    Claims of one file are consolidated first: data by the last word, an
-    overview by the richest, others if one covers the rest. Then a claim that
-    another covers is folded into it; then constraints are folded into a
-    definition that they don't contradict.
-    """
-    left = []
-    for file in dict.fromkeys(r[1] for r in rows):
-        same = [r for r in rows if r[1] == file]
-        ids, contents, topic = [r[0] for r in same], [r[4] for r in same], same[0][2]
-        if len(same) > 1 and topic == "data":
-            out = contents[0]
-            for c in contents[1:]:
-                out = merged(out, c, later_wins=True)
-            left.append(["same-file", out, ids, same[-1][3]])
-        elif len(same) > 1 and topic == "overview":
-            left.append(["same-file", max(contents, key=lambda c: (richness(c), canonical(c))), ids, same[-1][3]])
-        elif len(same) > 1 and any(all(covers(c, o) for o in contents) for c in contents):
-            left.append(["same-file", next(c for c in contents if all(covers(c, o) for o in contents)), ids, same[-1][3]])
-        else:
-            left += [["single", r[4], [r[0]], r[3]] for r in same]
-    kept = []
-    for k, c in enumerate(left):
-        above = next((o for j, o in enumerate(left) if j != k and o[3] == c[3] and covers(o[1], c[1]) and (not covers(c[1], o[1]) or j < k)), None)
-        if above is None:
-            kept.append(c)
-        else:
-            above[2] = sorted({*above[2], *c[2]})
-            above[0] = "superset"
-    definitions = [c for c in kept if c[3] != "constraint"]
-    if len(definitions) == 1:
-        base = definitions[0]
-        for c in [c for c in kept if c[3] == "constraint"]:
-            both = merged(base[1], c[1], later_wins=False)
-            if both is not None:
-                base[0], base[1], base[2] = "constrained", both, sorted({*base[2], *c[2]})
-                kept.remove(c)
-    return [(h, canonical(v), sorted(ids)) for h, v, ids, _ in kept]
-
-
-def fold_claims(claims: DataFrame) -> DataFrame:
-    """What is left of each (topic, subject) after the folds; contents that aren't JSON are texts."""
-
-    def run(pdf):
-        import pandas as pd
-
-        def read(text):
-            try:
-                return json.loads(text)
-            except (TypeError, ValueError):
-                return text
-
-        pdf = pdf.sort_values(["touched", "id"])
-        rows = [(int(r.id), r.file, r.topic, r.kind, read(r.content)) for r in pdf.itertuples()]
-        return pd.DataFrame([(pdf["topic"].iloc[0], pdf["subject"].iloc[0], h, c, ids) for h, c, ids in fold(rows)], columns=["topic", "subject", "how", "content", "sources"])
-
-    return claims.select("id", "topic", "subject", "file", "kind", "content", "touched").groupBy("topic", "subject").applyInPandas(run, FOLDED)
-
 
 def scopes(nodes: DataFrame) -> DataFrame:
     """(path, scope, name, defined, used): the names of each function, where they are first bound and used.

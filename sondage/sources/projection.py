@@ -67,6 +67,7 @@ UNION SELECT s_suppkey, (s_suppkey * 11 + s_nationkey * 5) % (SELECT max(s_suppk
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """One of the texts above over the tables in ``sf_dir``."""
     names = {n: table(spark, sf_dir, n) for n in re.findall(r"(?:FROM|JOIN) (\w+)", text)}
+    text = text.replace("{", "{{").replace("}", "}}")
     for n in names:
         text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
     return spark.sql(text.replace("AS VARCHAR", "AS STRING"), **names)

@@ -1,31 +1,9 @@
-"""Folds of claims, and the names of functions."""
-
-import json
+"""The names of functions."""
 
 from sondage.operators import folds
 from sondage.sources import code
 
 
-def test_each_fold():
-    d = lambda *claims: [(h, json.loads(c), ids) for h, c, ids in folds.fold(list(claims))]
-    assert d((1, "f", "data", None, {"a": 1, "b": 1}), (2, "f", "data", None, {"a": 2})) == [("same-file", {"a": 2, "b": 1}, [1, 2])]
-    assert d((1, "f", "overview", None, {"a": 1}), (2, "f", "overview", None, {"a": 1, "b": 2})) == [("same-file", {"a": 1, "b": 2}, [1, 2])]
-    assert d((1, "f", "auth", None, {"a": [1, 2]}), (2, "g", "auth", None, {"a": [1]})) == [("superset", {"a": [1, 2]}, [1, 2])]
-    assert d((1, "f", "auth", "definition", {"a": 1}), (2, "g", "auth", "constraint", {"b": 2})) == [("constrained", {"a": 1, "b": 2}, [1, 2])]
-    assert len(d((1, "f", "auth", "definition", {"a": 1}), (2, "g", "auth", "constraint", {"a": 2}))) == 2
-    assert d((1, "f", "auth", None, {"a": 1}), (2, "g", "auth", None, {"a": 1})) == [("superset", {"a": 1}, [1, 2])]
-
-
-def test_canonical_text_doesn_t_depend_on_order():
-    assert folds.canonical({"b": [1, {"d": 1, "c": 2}], "a": None}) == '{"a":null,"b":[1,{"c":2,"d":1}]}'
-
-
-def test_table(spark):
-    rows = [(1, "data", "s", "f", None, '{"a":1}', 1), (2, "data", "s", "f", None, '{"a":2,"c":3}', 2), (3, "auth", "s", "f", None, "plain", 1), (4, "auth", "s", "g", None, None, 1)]
-    got = folds.fold_claims(spark.createDataFrame(rows, "id long, topic string, subject string, file string, kind string, content string, touched int")).collect()
-    assert sorted((r.topic, r.how, r.content, r.sources) for r in got) == [("auth", "single", '"plain"', [3]), ("auth", "single", "null", [4]), ("data", "same-file", '{"a":2,"c":3}', [1, 2])]
-
-
 def test_names(spark):
     text = "def f(a, b):\n    x = a\n    print(y)\n    y = 1\n    def g(c):\n        return c\n    return x\n"
     nodes = code.parse_python(spark.createDataFrame([("m.py", text)], "path string, text string"))
