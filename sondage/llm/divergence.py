@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sondage.llm._common import bites, col, pack_bytes, stored, unpack_bytes
+from sondage.llm._common import bites, col, pack_bytes, partitions, stored, unpack_bytes
 
 #: Smoothed shares are whole numbers of this part.
 UNIT = 1_000_000_000
@@ -84,8 +84,14 @@ def _kept(counts: DataFrame, min_docs: int, chunk_terms: int) -> DataFrame:
     """(lang, term, total, chunk, at, v, lang_n, chunks): kept terms, dealt into chunks by hash and numbered in each."""
     kept = stored(counts.where(F.octet_length("term") > 0).groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("d").alias("d")).where(F.col("d") >= min_docs).drop("d"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
-    dealt = kept.join(sizes, "lang").withColumn("chunks", F.ceil(F.col("v") / chunk_terms).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
-    return dealt.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
+    # a language may hold most terms: it is joined and numbered in many tasks
+    salts = partitions(counts.sparkSession)
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = (
+        kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
+        .withColumn("chunks", F.ceil(F.col("v") / chunk_terms).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("term", F.lit(1)), F.col("chunks")).cast("int"))
+    )
+    return dealt.repartition("lang", "chunk").withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
 
 
 def smoothed(n: Column, total: Column, v: Column) -> Column:
