@@ -55,22 +55,21 @@ def widths(ids: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned 64-bit ids: at each place the selector that takes the most ids."""
     n, ids = len(ids), ids.astype(np.uint64)
-    width = widths(ids)
-    take, selector = np.ones(n, np.int64), np.zeros(n, np.int8)
+    # the widest of as many ids as a selector takes, from each place on; past the end there is room for any
+    widest = {1: np.concatenate([widths(ids), np.zeros(int(COUNTS.max()), np.int8)])}
+    selector = np.zeros(n, np.int8)
     for s in range(15, 0, -1):  # ever more ids of ever fewer bits
-        fits = width <= BITS[s]
-        if not fits.any():
-            break
-        if COUNTS[s] > 1:
-            wide = np.zeros(n + 1, np.int32)
-            np.cumsum(~fits, out=wide[1:])
-            ends = np.minimum(np.arange(n) + COUNTS[s], n)
-            fits = wide[ends] == wide[:-1]  # past the end there is room for any
-        take[fits], selector[fits] = COUNTS[s], s
-    ahead, at, starts = (np.arange(n) + take).tolist(), 0, []
+        count, known = int(COUNTS[s]), max(widest)
+        while known < count:
+            step = min(known, count - known)
+            last = widest[known]
+            widest[known + step] = np.maximum(last[:-step], last[step:])
+            known += step
+        np.copyto(selector, s, where=widest[count][:n] <= BITS[s])
+    take, at, starts = COUNTS[selector].astype(np.uint8).tobytes(), 0, []
     while at < n:
         starts.append(at)
-        at = ahead[at]
+        at += take[at]
     starts = np.array(starts, np.int64)
     padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), np.uint64)])
     chosen = selector[starts]
@@ -78,8 +77,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(chosen):
         rows = np.flatnonzero(chosen == s)
         if s and BITS[s]:
-            lanes = np.arange(COUNTS[s])
-            words[rows] |= np.bitwise_or.reduce(padded[starts[rows][:, None] + lanes] << (lanes * BITS[s]).astype(np.uint64), axis=1)
+            first, packed = starts[rows], padded[starts[rows]]
+            for lane in range(1, int(COUNTS[s])):
+                packed |= padded[first + lane] << np.uint64(lane * int(BITS[s]))
+            words[rows] |= packed
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, ids[starts[escaped]]
@@ -116,16 +117,25 @@ class Written(WriterCommitMessage):
     docs: int
 
 
+def narrowed(ids: bytes) -> bytes:
+    """Ids of four bytes in two where all are small enough, after a sign of their width."""
+    values = np.frombuffer(ids, "<u4")
+    return b"\x02" + values.astype("<u2").tobytes() if len(values) and int(values.max()) < 1 << 16 else b"\x04" + ids
+
+
+def widened(raw) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
 class FileWriter:
     """Writes one file: blocks as they fill, the tables at the end."""
 
-    def __init__(self, out, width: int):
-        self.out, self.kind, self.at = out, f"<u{width}", 0
+    def __init__(self, out):
+        self.out, self.at = out, 0
         self.held, self.waiting, self.count = [], 0, 0
         self.blocks, self.docs = [], []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        values = np.frombuffer(ids, self.kind)
+    def add(self, doc_id: int | None, values: np.ndarray) -> None:
         self.docs.append((0 if doc_id is None else doc_id, doc_id is None, self.count + self.waiting))
         self.held.append(values)
         self.waiting += len(values)
@@ -133,7 +143,7 @@ class FileWriter:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        values = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        values = np.concatenate(self.held) if self.held else np.zeros(0, "<u4")
         at = 0
         while len(values) - at >= BLOCK or (last and at < len(values)):
             words, escapes = encode(values[at : at + BLOCK])
@@ -209,7 +219,7 @@ class TokenFiles(DataSource):
 
 
 class TokenFilesWriter(DataSourceArrowWriter):
-    """Takes (part, doc_id, ids), sorted in each task; parts are in the order of documents. A write replaces what was there."""
+    """Takes (part, doc_id, ids after a sign of their width), sorted in each task; parts are in the order of documents. A write replaces what was there."""
 
     def __init__(self, path: str, width: int):
         self.path, self.width = path, width
@@ -222,9 +232,9 @@ class TokenFilesWriter(DataSourceArrowWriter):
             for batch in bites([batch]):
                 if writer is None and batch.num_rows:
                     part = batch.column(0)[0].as_py()
-                    writer = FileWriter(disk.open_output_stream(f"{base}/{name}"), self.width)
-                for doc_id, ids in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    writer.add(doc_id, ids.as_buffer() or b"")
+                    writer = FileWriter(disk.open_output_stream(f"{base}/{name}"))
+                for doc_id, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    writer.add(doc_id, widened(ids))
         if writer is None:
             return Written("", part, 0, 0)
         writer.close()
@@ -312,7 +322,7 @@ def _ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[int, list[int]]:
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, parts: int | None = None) -> DataFrame:
-    """(part, doc_id, ids): whole texts' ids and ``end_id``, in ascending order of id over the parts and in each.
+    """(part, doc_id, ids): whole texts' ids and ``end_id``, narrowed, in ascending order of id over the parts and in each.
 
     Only the ids of words are exchanged. Rows of equal id follow each other in
     the order in which the table is read; where an id has more rows than a part
@@ -340,7 +350,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 for i in batch.column(0).to_pylist():
                     low, high = (0, 0) if i is None else (int(np.searchsorted(cuts, i, "left")), int(np.searchsorted(cuts, i, "right")))
                     part.append(deal(0, max(0, none - 1)) if i is None else none + (deal(low, high) if high - low > 1 else low))
-            texts = [x + end for x in words.ids(batch.column(1).to_pylist())]
+            texts = [narrowed(x + end) for x in words.ids(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(range(at, at + batch.num_rows), pa.int64()), pa.array([place] * batch.num_rows, pa.int32()), batch.column(0), pa.array(texts, pa.binary())], names=["part", "row", "task", "doc_id", "ids"])
             at += batch.num_rows
 

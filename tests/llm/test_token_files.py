@@ -32,9 +32,9 @@ def test_a_file_of_many_blocks(tmp_path):
 
     rng, disk, name = np.random.default_rng(2), fs.LocalFileSystem(), str(tmp_path / "x.ids")
     docs = [rng.integers(0, 1 << 63, n).astype("<u8") >> np.uint64(int(rng.integers(0, 63))) for n in (0, 3, BLOCK - 3, 1, 5 * BLOCK, 0, 17)]
-    writer = FileWriter(disk.open_output_stream(name), 8)
+    writer = FileWriter(disk.open_output_stream(name))
     for k, ids in enumerate(docs):
-        writer.add(None if k == 3 else k - 4, ids.tobytes())
+        writer.add(None if k == 3 else k - 4, ids)
     writer.close()
     with disk.open_input_file(name) as source:
         file = FileReader(source)
