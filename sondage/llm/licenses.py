@@ -14,6 +14,7 @@ rare words that make up more than the rest of it cannot all be missing.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -30,8 +31,8 @@ FILE_NAMES = ("LICENSE", "LICENCE", "COPYING", "UNLICENSE", "UNLICENCE")
 THRESHOLD = 0.75
 #: What a word is split at, and what is cut off its ends: versions stay whole.
 BETWEEN, AROUND = r"[^\p{L}\p{N}.+-]+", ".+-"
-#: Pieces that the documents of a directory are dealt into.
-SALTS = 16
+#: Rows of a directory, in the mean, that one task gives what the directory inherits.
+PIECE_ROWS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -53,7 +54,13 @@ def vocabulary() -> list[str]:
 
 
 def _texts(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """The words as one constant."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def _constant(value, kind: str) -> Column:
+    """A value of lists, objects, numbers and texts as one constant of the type ``kind``; doubles stay exactly what they are."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def weights(docs: DataFrame, text_col: str) -> tuple[dict[str, float], float]:
@@ -114,17 +121,16 @@ def _scored(segments: DataFrame, idf: dict[str, float], rare: float) -> DataFram
     with itself.
     """
     known = [(name, {t: c * idf[t] for t, c in Counter(words).items()}) for name, words in template_tokens()]
-    product = lambda k, w: F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
-    entries = [F.struct(F.lit(t).alias("token"), F.lit(idf[t]).alias("idf"), F.array(product(-1, idf[t]), *[product(k, w[t]) for k, (_, w) in enumerate(known) if t in w]).alias("per")) for t in sorted(idf)]
-    table = F.broadcast(segments.sparkSession.range(1).select(F.inline(F.array(*entries))))
+    entries = [{"token": t, "idf": idf[t], "per": [{"k": -1, "w": idf[t]}] + [{"k": k, "w": w[t]} for k, (_, w) in enumerate(known) if t in w]} for t in sorted(idf)]
+    table = F.broadcast(segments.sparkSession.range(1).select(F.inline(_constant(entries, "array<struct<token:string,idf:double,per:array<struct<k:int,w:double>>>>"))))
     keys = ["part", "row", "kind", "seg"]
     counted = segments.select(*keys, "line", F.explode("words").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    alone = F.array(product(-1, rare))
+    alone = F.array(F.struct(F.lit(-1).alias("k"), F.lit(rare).alias("w")))
     weighed = counted.join(table, "token", "left").select(*keys, "line", "n", F.explode(F.coalesce("per", alone)).alias("p"), (F.col("n") * F.coalesce("idf", F.lit(rare))).alias("w"))
     own = F.when(F.col("p.k") < 0, F.col("n") * F.col("w")).otherwise(F.col("w"))  # n * idf, for each of the n
     dots = weighed.groupBy(*keys, F.col("p.k").alias("k")).agg(F.sum(own * F.col("p.w")).alias("dot"), F.sum("n").alias("n"), F.min("line").alias("line"))
     each = dots.groupBy(*keys).agg(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "dot"))).alias("d"), F.max(F.when(F.col("k") < 0, F.struct(F.sqrt("dot").alias("norm"), "n", "line"))).alias("s"))
-    sizes = F.array(*[F.lit(math.sqrt(sum(w * w for w in t.values()))) for _, t in known])
+    sizes = _constant([math.sqrt(sum(w * w for w in t.values())) for _, t in known], "array<double>")
     names = _texts([name for name, _ in known])
     near = F.array_max(F.transform("d", lambda x: F.struct(F.round(x["dot"] / (F.col("s.norm") * F.get(sizes, x["k"])), 6).alias("score"), F.get(names, x["k"]).alias("license"))))
     return each.select(*keys, near.alias("best"), F.col("s.n").alias("size"), F.col("s.line").alias("line"))
@@ -192,9 +198,11 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     distinct = dirs.select("dir").where("dir is not null").distinct().select("dir", F.explode(F.array_distinct(above)).alias("above"))
     nearest = distinct.join(files, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), F.col("above").alias("from_dir"), "file_license", "file_score")).alias("near"))
-    # a directory may hold a third of all rows: its rows are dealt into pieces, and what it inherits goes to each
-    salted = nearest.select("dir", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = dirs.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["dir", "salt"], "left").join(own, "row", "left")
+    # a directory may hold a third of all rows: its rows are dealt into pieces, and what it inherits goes to each piece that is there
+    pieces = max(1, -(-placed.count() // PIECE_ROWS))
+    dealt = dirs.withColumn("piece", F.when(F.col("dir").isNull(), F.col("row")).otherwise(F.pmod("row", F.lit(pieces))))
+    sent = dealt.where("dir is not null").select("dir", "piece").distinct().join(nearest, "dir")
+    joined = dealt.join(sent, ["dir", "piece"], "left").join(own, "row", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.coalesce("license", "near.file_license").alias("license"),
