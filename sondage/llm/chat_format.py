@@ -39,7 +39,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows are turns of their own. A null role or text counts as empty; rows of a
     null conversation form one. Neighbouring turns of one role share a block,
     as its parts. ``loss_mask`` covers ``formatted`` as runs of (chars, loss),
-    in code points; an assistant's parts alone are under loss. An empty table
+    in code points, one for each control string and each text between two; an
+    assistant's parts alone are under loss. An empty table
     gives an empty result; extra columns are not read. A conversation is one
     output row, so its turns meet in one task, whatever the method.
     """
@@ -59,9 +60,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         return F.struct(chars.cast("long").alias("chars"), loss.alias("loss"))
 
     def mask(b: Column) -> Column:
-        head = run(F.lit(len(TURN) + len(BODY)) + F.char_length(escaped(b["role"])), F.lit(False))
-        body = F.transform(b["parts"], lambda p, i: F.array(run(F.when(i > 0, len(PART)).otherwise(0), F.lit(False)), run(F.char_length(p), b["role"] == LEARNT)))
-        return F.concat(F.array(head), F.flatten(body), F.array(run(F.lit(len(END)), F.lit(False))))
+        no = F.lit(False)
+        head = [run(F.lit(len(TURN)), no), run(F.char_length(escaped(b["role"])), no), run(F.lit(len(BODY)), no)]
+        body = F.transform(b["parts"], lambda p, i: F.array(run(F.when(i > 0, len(PART)).otherwise(0), no), run(F.char_length(p), b["role"] == LEARNT)))
+        return F.concat(F.array(*head), F.flatten(body), F.array(run(F.lit(len(END)), no)))
 
     return (
         changes.withColumn("ends", ends)
@@ -71,28 +73,28 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted text, as an array of (role, text), exactly as they went in."""
-    blocks = F.filter(F.split(formatted, END), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.element_at(F.split(b, BODY), 2), PART),
-                lambda p: F.struct(unescaped(F.substring(F.element_at(F.split(b, BODY), 1), F.lit(len(TURN) + 1), F.char_length(b))).alias("role"), unescaped(p).alias("text")),
-            ),
-        )
-    )
+    """The turns of a formatted text, as an array of (role, text), exactly as they went in.
+
+    An empty text has none, and null gives null. Every block is split once, so
+    the time grows with the text, however many parts a block has.
+    """
+    blocks = F.transform(F.filter(F.split(formatted, END), lambda b: b != ""), lambda b: F.split(F.substr(b, F.lit(len(TURN) + 1)), BODY))
+    parts = F.transform(blocks, lambda b: F.struct(unescaped(F.get(b, F.lit(0))).alias("role"), F.split(F.get(b, F.lit(1)), PART).alias("parts")))
+    return F.flatten(F.transform(parts, lambda b: F.transform(b["parts"], lambda p: F.struct(b["role"].alias("role"), unescaped(p).alias("text")))))
 
 
 def learnt_text(formatted: Column, loss_mask: Column) -> Column:
-    """All text under the loss mask, in order, unescaped: what a model is trained to say."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    read = F.aggregate(
-        loss_mask, start,
-        lambda done, x: F.struct((done["at"] + x["chars"]).alias("at"), F.when(x["loss"], F.concat(done["out"], F.array(F.substring(formatted, done["at"].cast("int"), x["chars"].cast("int"))))).otherwise(done["out"]).alias("out")),
-        lambda done: F.array_join(done["out"], ""),
-    )
-    return unescaped(read)
+    """All text under the loss mask, in order, unescaped: what a model is trained to say.
+
+    The text is cut once, before and after every control string, into what the
+    mask has runs for; a mask that doesn't fit the text raises an error. An
+    empty text, or one without anything under loss, gives an empty string.
+    """
+    signs = "|".join((TURN, BODY, PART, END))
+    pieces = F.array_remove(F.split(formatted, f"(?={signs})|(?<={signs})"), "")
+    fits = lambda t, x: F.char_length(t) == x["chars"]
+    said = F.zip_with(pieces, loss_mask, lambda t, x: F.when(F.coalesce(fits(t, x), F.lit(False)), F.when(x["loss"], t)).otherwise(F.raise_error(F.lit("the loss mask doesn't fit the text"))))
+    return unescaped(F.array_join(said, ""))
 
 
 def query_op3(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 from sondage.llm.chat_format import END, OPEN, format_chats, learnt_text, read_turns
 
@@ -41,3 +44,28 @@ def test_neighbours_share_a_block(spark):
 
 def test_empty(spark):
     assert format_chats(chats(spark, ROWS).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("roles", [["user", "assistant"], ["assistant"]])
+def test_a_hundred_thousand_turns_take_time_in_proportion(spark, roles):
+    import time
+
+    from pyspark.sql import functions as F
+    from sondage.llm.chat_format import format_chats, learnt_text, read_turns
+
+    n, names = 100_000, F.array(*[F.lit(r) for r in roles])
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.get(names, (F.col("id") % len(roles)).cast("int")).alias("role"), F.concat(F.lit("wört <part> "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    out = format_chats(turns).select(F.size(read_turns(F.col("formatted"))).alias("n"), F.sha2(learnt_text(F.col("formatted"), F.col("loss_mask")), 256).alias("h"), "formatted").first()
+    assert time.time() - began < 30
+    assert out.n == n
+    assert out.h == hashlib.sha256("".join(f"wört <part> {k}" for k in range(n) if roles[k % len(roles)] == "assistant").encode()).hexdigest()
+
+
+def test_a_mask_of_another_text_is_refused(spark):
+    from pyspark.sql import functions as F
+    from sondage.llm.chat_format import format_chats, learnt_text
+
+    out = format_chats(spark.createDataFrame([(1, 0, "assistant", "abc")], "conv_id long, turn long, role string, text string"))
+    with pytest.raises(Exception, match="doesn't fit"):
+        out.select(learnt_text(F.concat("formatted", F.lit("<turn>user<body>x<end>\n")), F.col("loss_mask"))).collect()
