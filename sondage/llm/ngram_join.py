@@ -5,13 +5,15 @@ sampled n-gram is the branch taken. Texts on one path share the sampled
 n-grams and form a bucket. Small buckets are compared by brute force; a large
 one is split by the next level, however deep, unless most of it would take one
 branch (then its texts are alike and splitting only loses links; it is compared
-in blocks). Beyond the first levels a text takes several branches at once, so
-that going deeper loses few pairs.
+in blocks). Beyond the first levels a path takes several branches at once, so
+that going deeper loses few pairs; ever deeper, only as many as keep the
+expected meetings of a pair at the threshold.
 
 Runs are repeated until the target recall. The first number of runs is that
 which meets a pair at the threshold on the first levels; then recall is
 measured on the links found, by how many of them were met in one run alone and
-how many in two, and while it is short of the target the runs are doubled.
+how many in two, and while it is short of the target as many runs again are
+added, with functions of their own; what was found stays.
 
 Equal texts are one class and are compared once. A pair met in several
 buckets belongs to the least of them, so that links are counted once without
@@ -35,7 +37,7 @@ N, THRESHOLD = 5, 0.8
 LEVELS, RECALL = 3, 0.99
 #: Members up to which a bucket counts as small, and members of a block of a larger one.
 SMALL, BLOCK = 512, 512
-#: Branches that a text takes on each level beyond the first ones.
+#: Branches that a path takes on each of the two levels beyond the first ones.
 BRANCHES = 2
 REMEMBERED = 700_000
 
@@ -92,8 +94,8 @@ def _key(text):
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, levels: int) -> DataFrame:
-    """(key, id, sketch, paths): each distinct text once, with its smallest id; texts without words drop out."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, levels: int, first: int = 0) -> DataFrame:
+    """(key, id, sketch, paths): each distinct text once, with its smallest id; texts without words drop out. Runs are numbered from ``first`` on."""
 
     def run(batches):
         shingler = Shingler(n)
@@ -103,10 +105,10 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, le
             if not len(full):
                 continue
             sizes = np.array([len(hashed[k]) for k in full])
-            tokens = sampled(np.concatenate([hashed[k] for k in full]), np.cumsum(sizes) - sizes, runs * levels)
+            tokens = sampled(np.concatenate([hashed[k] for k in full]), np.cumsum(sizes) - sizes, runs * levels, first * levels)
             paths = np.empty((len(full), runs, levels), np.int64)
             for r in range(runs):
-                path = np.full(len(full), r + 1, np.uint64)
+                path = np.full(len(full), first + r + 1, np.uint64)
                 for level in range(levels):
                     path = mixed(path * np.uint64(0x9E3779B97F4A7C15) ^ tokens[r * levels + level])
                     paths[:, r, level] = (path >> np.uint64(1)).astype(np.int64)
@@ -121,35 +123,54 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int, le
     return found.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
 
 
-def _deeper(open_: DataFrame, sketches: DataFrame, text_of, n: int, slots: int, level: int, branches: int) -> DataFrame:
-    """Open rows (key, run, path), each once per branch that its text takes on the next level, as (key, run, path).
+def branches_at(depth: int, threshold: float, branches: int = BRANCHES) -> float:
+    """Branches that a path takes in the mean, ``depth`` levels beyond the first ones.
 
-    Branches count as runs of their own: a text has one path in each.
+    ``branches`` at first; from the third on as many as make up for the pairs at
+    the threshold that a level parts, so that a text's paths stay few however
+    deep it goes, and no more pairs are lost in the mean.
     """
+    return branches if depth <= 2 else min(branches, 1 / threshold)
 
-    def run(batches):
-        shingler = Shingler(n)
-        for batch in bites(batches):
-            hashed = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(h) for h in hashed])
-            tokens = sampled(np.concatenate(hashed), np.cumsum(sizes) - sizes, slots * branches, first=1_000_000 * level)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.view(np.int64).tolist() for t in tokens.T], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    asked = stored(open_.select("key").distinct().join(sketches.select("key", F.col("id").alias("rep")), "key"))
-    tokens = stored(text_of(asked).mapInArrow(run, "key binary, tokens array<long>").dropDuplicates(["key"]))
-    taken = F.explode(F.transform(F.sequence(F.lit(0), F.lit(branches - 1)), lambda b: F.struct((F.col("run") + b * slots).alias("run"), F.xxhash64("path", F.get("tokens", F.col("run") * branches + b)).alias("path"))))
-    return open_.join(tokens, "key").select("key", taken.alias("x")).select("key", "x.run", "x.path")
+def _deeper(open_: DataFrame, sketches: DataFrame, text_of, n: int, mean: float) -> DataFrame:
+    """(key, path, to): the open paths of each text, each once per branch that it takes on the next level.
 
+    A path's functions, and how many of them there are, follow from the path,
+    so all texts of a bucket take them alike.
+    """
 
-def _leaves(sketches: DataFrame, text_of, n: int, runs: int, levels: int, small: int, branches: int) -> DataFrame:
-    """(key, run, leaf, size): the buckets of two and more in which a text is compared.
+    def run(batches):
+        shingler = Shingler(n)
+        for batch in bites(batches):
+            keys, froms, tos = [], [], []
+            for key, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = shingler.hashes(text)
+                seeds = mixed(np.array(paths, np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                wide = int(mean) + (mixed(seeds ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)) * 2.0**-53
+                for path, seed, width in zip(paths, seeds, (wide + (mean - int(mean))).astype(np.int64).tolist(), strict=True):
+                    for branch in range(width):
+                        a, b = mixed(np.array([seed + np.uint64(2 * branch), seed + np.uint64(2 * branch + 1)]))
+                        token = (h ^ b) * (a | np.uint64(1))
+                        token = ((token ^ (token >> np.uint64(32))) * (b | np.uint64(1))).min()
+                        keys.append(key)
+                        froms.append(path)
+                        tos.append(int(mixed(np.array([token ^ a]))[0] >> np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], names=["key", "path", "to"])
+
+    asked = stored(open_.groupBy("key").agg(F.collect_list("path").alias("paths")).join(sketches.select("key", F.col("id").alias("rep")), "key"))
+    return text_of(asked).mapInArrow(run, "key binary, path long, to long").distinct()
+
+
+def _leaves(sketches: DataFrame, text_of, n: int, runs: int, levels: int, small: int, branches: int, threshold: float) -> DataFrame:
+    """(key, leaf, size): the buckets of two and more in which a text is compared.
 
     ``text_of`` gives the texts (key, t) of rows (key, rep); they are read only
     where buckets are still large after the first levels.
     """
-    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("paths", r * levels + 1, F.lit(levels)).alias("p")))
-    open_ = sketches.select("key", F.explode(first).alias("x")).select("key", "x.run", F.col("x.p")[0].alias("path"), F.col("x.p").alias("p"))
-    out, level, slots = None, 0, runs
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * levels + 1, F.lit(levels)))
+    open_ = sketches.select("key", F.explode(first).alias("p")).select("key", F.col("p")[0].alias("path"), "p")
+    out, level = None, 0
     while True:
         # both sides of each join come from storage or an exchange of their own, and its result goes to storage,
         # so that Spark may split the partition of a hot path while it runs
@@ -161,26 +182,15 @@ def _leaves(sketches: DataFrame, text_of, n: int, runs: int, levels: int, small:
             done, further = here, None
         else:
             if level < levels:
-                further = large.select("key", "run", F.col("path").alias("from"), F.col("p")[level].alias("path"), "p")
-                taken, wide = further.withColumnRenamed("path", "to").withColumnRenamed("from", "path"), 1
+                taken = large.select("key", "path", F.col("p")[level].alias("to"), "p")
             else:
-                further = stored(_deeper(large.select("key", "run", "path"), sketches, text_of, n, slots, level, branches).withColumn("p", F.lit(None).cast("array<long>")))
-                # a bucket's branches, by the bucket: a row per branch, as many as its texts have runs in it
-                up = large.select("key", "run", "path")
-                taken = further.withColumnRenamed("path", "to").withColumn("run", F.pmod("run", F.lit(slots)).cast("int")).join(up, ["key", "run"])
-                wide = branches
+                taken = stored(_deeper(large.select("key", "path"), sketches, text_of, n, branches_at(level - levels + 1, threshold, branches)).withColumn("p", F.lit(None).cast("array<long>")))
             widest = taken.groupBy("path", "to").agg(F.count("*").alias("n")).groupBy("path").agg(F.max("n").alias("widest"))
             # a large bucket is split if no branch holds more than half of it
             split = stored(widest.join(sizes, "path").where(F.col("widest") * 2 <= F.col("size")).select("path", F.lit(True).alias("split")))
-            large = stored(large.join(split, "path", "left"))
-            done = here.where(F.col("size") <= small).unionByName(large.where("split is null").drop("split"))
-            if level < levels:
-                further = large.where("split").select("key", "run", F.col("p")[level].alias("path"), "p")
-            else:
-                going = large.where("split").select("key", F.col("run").alias("of"))
-                further = further.withColumn("of", F.pmod("run", F.lit(slots)).cast("int")).join(going, ["key", "of"], "left_semi").select("key", "run", "path", "p")
-                slots *= wide
-        done = done.select("key", "run", F.col("path").alias("leaf"), "size")
+            done = here.where(F.col("size") <= small).unionByName(large.join(split, "path", "left_anti"))
+            further = taken.join(split, "path", "left_semi").select("key", F.col("to").alias("path"), "p")
+        done = done.select("key", F.col("path").alias("leaf"), "size")
         out = done if out is None else out.unionByName(done)
         if further is None:
             return out
@@ -212,17 +222,31 @@ def _groups(batches, columns: int):
         yield now, held
 
 
-def _mine(leaf: int, lo: int, hi: int, blocks: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """The pairs (upper triangle) that belong to this bucket and this pair of blocks: met in no lesser bucket."""
+def _in_common(leaves: list[np.ndarray]) -> np.ndarray:
+    """How many of their buckets each pair of texts shares; a text has as many as it is in, and no more are looked at."""
+    m, sizes = len(leaves), [len(x) for x in leaves]
+    out = np.zeros((m, m), np.int32)
+    if not any(sizes):
+        return out
+    _, column, count = np.unique(np.concatenate(leaves), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(m), sizes), count > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    for begin in range(0, int(shared.sum()), 2048):
+        here = (begin <= column) & (column < begin + 2048)
+        x = np.zeros((m, 2048), np.float32)
+        x[owner[here], column[here] - begin] = 1
+        out += (x @ x.T).astype(np.int32)
+    return out
+
+
+def _mine(leaf: int, lo: int, hi: int, blocks: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+    """The pairs (upper triangle) that belong to this bucket and this pair of blocks: met in no lesser bucket of this or an earlier pass."""
     m = len(blocks)
     pairs = np.triu(np.ones((m, m), bool), 1)
     if lo != hi:
         pairs &= blocks[:, None] != blocks[None, :]
-    for run in leaves.T:
-        lesser = (run != 0) & (run < leaf)
-        if lesser.any():
-            pairs &= ~((run[:, None] == run[None, :]) & lesser[:, None])
-    return pairs
+    return pairs & (_in_common([x[: np.searchsorted(x, leaf)] for x in leaves]) == 0)
 
 
 def _agreeing(sketches: np.ndarray) -> np.ndarray:
@@ -245,7 +269,7 @@ def _hopeful(sketched: DataFrame, threshold: float, functions: int) -> DataFrame
         for (leaf, lo, hi), (_, _, _, key, b, leaves, sketch) in _groups(batches, 7):
             if len(key) < 2:
                 continue
-            pairs = _mine(leaf, lo, hi, np.array(b), np.array(leaves, np.int64))
+            pairs = _mine(leaf, lo, hi, np.array(b), [np.array(x, np.int64) for x in leaves])
             if not pairs.any():
                 continue
             pairs &= _agreeing(np.frombuffer(b"".join(sketch), np.uint64).reshape(len(key), -1)) >= least
@@ -306,14 +330,6 @@ def _least(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _meetings(leaves: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """In how many runs each linked pair shares a bucket."""
-    out = np.zeros(links.shape, np.int32)
-    for run in leaves.T:
-        out += (run[:, None] == run[None, :]) & (run != 0)[:, None]
-    return np.where(links, out, 0)
-
-
 def recall_of(links: int, once: int, twice: int, runs: int) -> float:
     """The share of links that were found, if ``once`` of them were met in one of the runs and ``twice`` in two.
 
@@ -327,11 +343,15 @@ def recall_of(links: int, once: int, twice: int, runs: int) -> float:
 
 
 def _verified(with_sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, to, n, once, twice): a text's links in a bucket, their number, the least text of its group there; links met in one run and in two."""
+    """(key, to, n, once, twice, again): a text's links in a bucket and the least text of its group there.
+
+    ``n``: those that no earlier pass had met; ``again``: the others; ``once``
+    and ``twice``: of both, those met in one bucket of this pass and in two.
+    """
 
     def run(batches):
-        rows = [[], [], [], [], []]
-        for (leaf, lo, hi), (_, _, _, key, b, leaves, sets) in _groups(batches, 7):
+        rows = [[], [], [], [], [], []]
+        for (leaf, lo, hi), (_, _, _, key, b, leaves, before, sets) in _groups(batches, 8):
             first = {}
             for k, x in enumerate(key):
                 first.setdefault(x, k)
@@ -339,27 +359,31 @@ def _verified(with_sets: DataFrame, threshold: float) -> DataFrame:
             if len(at) < 2:
                 continue
             key = [key[k] for k in at]
-            pairs = _mine(leaf, lo, hi, np.array(b)[at], np.array(leaves, np.int64)[at])
+            own, old = ([np.array(x[k], np.int64) for k in at] for x in (leaves, before))
+            pairs = _mine(leaf, lo, hi, np.array(b)[at], own)
             links = similar([np.frombuffer(unpack_bytes(sets[k]), np.uint64) for k in at], pairs, threshold)
             links |= links.T
-            n = links.sum(1)
-            met = _meetings(np.array(leaves, np.int64)[at], links) if n.any() else links
-            once, twice = (met == 1).sum(1), (met == 2).sum(1)
+            found = links.any(1)
+            if not found.any():
+                continue
+            met = _in_common(own) * links
+            again = (_in_common(old) > 0) & links
             group = _least(links)
-            for k in np.flatnonzero(n).tolist():
-                for x, v in zip(rows, (key[k], key[int(group[k])], int(n[k]), int(once[k]), int(twice[k])), strict=True):
+            for k in np.flatnonzero(found).tolist():
+                values = key[k], key[int(group[k])], int((links[k] & ~again[k]).sum()), int((met[k] == 1).sum()), int((met[k] == 2).sum()), int(again[k].sum())
+                for x, v in zip(rows, values, strict=True):
                     x.append(v)
             if len(rows[0]) > 4096:
                 yield _edges(rows)
-                rows = [[], [], [], [], []]
+                rows = [[], [], [], [], [], []]
         if rows[0]:
             yield _edges(rows)
 
-    return with_sets.select("leaf", "lo", "hi", "key", "b", "leaves", "set").mapInArrow(run, "key binary, to binary, n long, once long, twice long")
+    return with_sets.select("leaf", "lo", "hi", "key", "b", "leaves", "before", "set").mapInArrow(run, "key binary, to binary, n long, once long, twice long, again long")
 
 
 def _edges(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "to", "n", "once", "twice"])
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.binary(), pa.binary(), *[pa.int64()] * 4), strict=True)], names=["key", "to", "n", "once", "twice", "again"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -386,33 +410,72 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, levels: int, runs: int, small: int, branches: int) -> tuple[DataFrame, float]:
-    """(key, to, n, ...) of all links found in ``runs`` runs, stored, and the recall measured on them."""
-    sketches = stored(_sketches(docs, id_col, text_col, n, runs, levels))
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, levels: int, runs: int, small: int, branches: int, first: int = 0, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One pass of ``runs`` runs, whose functions are numbered from ``first`` on, after those that ``earlier`` has the buckets of.
+
+    (links, buckets): (key, to, n, once, twice, again) of all links met, and
+    (key, leaves), the sorted buckets of each text in this pass and before, as
+    many as it is in. Both are stored.
+    """
+    sketches = stored(_sketches(docs, id_col, text_col, n, runs, levels, first))
     texts = docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("t")).withColumn("key", _key(F.col("t")))
     one = lambda keys: texts.join(keys, (texts["key"] == keys["key"]) & texts["id"].eqNullSafe(keys["rep"])).select(texts["key"], *[keys[c] for c in keys.columns if c not in ("key", "rep")], "t")
-    leaves = stored(_leaves(sketches, one, n, runs, levels, small, branches))
-    slots = (leaves.agg(F.max("run")).first()[0] or 0) + 1
-    number = F.aggregate(F.col("found"), F.array_repeat(F.lit(0).cast("long"), slots), lambda acc, x: F.transform(acc, lambda v, k: F.when(k == x["run"], x["leaf"]).otherwise(v)))
-    owned = leaves.groupBy("key").agg(F.collect_list(F.struct("run", "leaf", "size")).alias("found")).withColumn("leaves", number)
+    leaves = stored(_leaves(sketches, one, n, runs, levels, small, branches, threshold))
+    owned = leaves.groupBy("key").agg(F.collect_list(F.struct("leaf", "size")).alias("found")).withColumn("leaves", F.array_sort(F.transform("found", lambda x: x["leaf"])))
+    none = F.array().cast("array<long>")
+    owned = owned.withColumn("before", none) if earlier is None else owned.join(earlier.withColumnRenamed("leaves", "before"), "key", "left").withColumn("before", F.coalesce("before", none))
+    owned = stored(owned)
     members = owned.join(sketches.select("key", "sketch", "id"), "key").select("key", "id", "sketch", "leaves", F.explode("found").alias("x")).select("key", "id", "sketch", "leaves", "x.leaf", "x.size")
     tasks = 2 * partitions(docs.sparkSession)
     by = ["leaf", "lo", "hi"]
     sketched = _blocked(members).repartition(tasks, *by).sortWithinPartitions(*by, "key")
     flagged = stored(_hopeful(sketched, threshold, runs * levels))
-    asked = stored(flagged.select("key").distinct().join(owned.select("key", "leaves"), "key").join(sketches.select("key", F.col("id").alias("rep")), "key"))
+    asked = stored(flagged.select("key").distinct().join(owned.select("key", "leaves", "before"), "key").join(sketches.select("key", F.col("id").alias("rep")), "key"))
 
     def sets(batches):
         shingler = Shingler(n)
         for batch in bites(batches):
-            got = [pack_bytes(np.unique(shingler.hashes(t)).tobytes()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "leaves", "set"])
+            got = [pack_bytes(np.unique(shingler.hashes(t)).tobytes()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["key", "leaves", "before", "set"])
 
-    with_sets = flagged.join(one(asked).mapInArrow(sets, "key binary, leaves array<long>, set binary").dropDuplicates(["key"]), "key")
+    with_sets = flagged.join(one(asked).mapInArrow(sets, "key binary, leaves array<long>, before array<long>, set binary").dropDuplicates(["key"]), "key")
     blocks = members.select("key", "leaf", "size").join(flagged.select("leaf", "key").distinct(), ["leaf", "key"]).select("leaf", "key", F.pmod(F.xxhash64("key", F.lit(5)), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int").alias("b"))
     links = stored(_verified(with_sets.join(blocks, ["leaf", "key"]).repartition(tasks, *by).sortWithinPartitions(*by, "key"), threshold))
-    counts = links.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "once", "twice")]).first()
-    return links, recall_of(*(v // 2 for v in counts), runs)
+    here = owned.select("key", "leaves")
+    every = here if earlier is None else earlier.join(here.withColumnRenamed("leaves", "new"), "key", "full").select("key", F.array_sort(F.concat(F.coalesce("leaves", none), F.coalesce("new", none))).alias("leaves"))
+    return links, every
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, levels: int, recall: float, runs: int, small: int, branches: int) -> tuple[DataFrame, float]:
+    """(key, to, n) of all links, and the recall measured on them, which is ``recall`` at least.
+
+    The first pass is measured by the links met in one of its runs and in two.
+    While recall is short, a further pass makes as many runs as there were,
+    with functions of their own, and what was found stays: of the links that
+    the new pass met, the share that had been met before says what share of
+    all had been.
+    """
+    counts = lambda links: [v // 2 for v in links.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "once", "twice", "again")]).first()]
+    links, buckets = _linked(docs, id_col, text_col, n, threshold, levels, runs, small, branches)
+    new, once, twice, _ = counts(links)
+    done, found, measured = runs, new, recall_of(new, once, twice, runs)
+    while measured < recall:
+        more, buckets = _linked(docs, id_col, text_col, n, threshold, levels, done, small, branches, done, stored(buckets))
+        links = links.unionByName(more)
+        new, _, _, again = counts(more)
+        measured = met_by_both(found, new + again, again)
+        found, done = found + new, 2 * done
+    return links.select("key", "to", "n"), measured
+
+
+def met_by_both(before: int, now: int, both: int) -> float:
+    """The share of all links that two passes have met together, of which ``both`` were met by either one.
+
+    Each pass finds a share of its own of all links, the older ``both / now``.
+    """
+    if not before + now - both:
+        return 1.0
+    return (before + now - both) * both / (before * now) if both else 0.0
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL, small: int = SMALL, branches: int = BRANCHES) -> DataFrame:
@@ -429,13 +492,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     recall: what must be reached, both computed for a pair at the threshold on
     ``levels`` levels and measured on the links found; small: texts up to which
-    a bucket is compared as it is; branches: those taken on each deeper level.
+    a bucket is compared as it is; branches: those taken on the first deeper levels.
     """
-    runs = runs_for(threshold, levels, recall)
-    links, measured = _linked(docs, id_col, text_col, n, threshold, levels, runs, small, branches)
-    while measured < recall:
-        runs *= 2
-        links, measured = _linked(docs, id_col, text_col, n, threshold, levels, runs, small, branches)
+    links, _ = _found(docs, id_col, text_col, n, threshold, levels, recall, runs_for(threshold, levels, recall), small, branches)
     roots = components(links.select(F.col("key").alias("u"), F.col("to").alias("v")))
     counted = links.groupBy("key").agg(F.sum("n").alias("n_links")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     every = docs.select(col(id_col).alias("id"), _key(text_or_empty(text_col)).alias("text_key"))

@@ -109,11 +109,43 @@ def test_runs_are_repeated_until_the_measured_recall(spark, monkeypatch):
     monkeypatch.setattr(J, "runs_for", lambda *a: 2)
     rows = pairs_at_the_threshold(200)
     got = {r.doc_id: r.class_id for r in J.near_duplicates(documents(spark, rows)).collect()}
-    assert len(asked) > 1 and asked[:2] == [2, 4]
+    assert len(asked) > 1 and asked[:2] == [2, 2]
     assert sum(got[2 * k + 1] == 2 * k for k in range(200)) >= 180
     assert J.recall_of(0, 0, 0, 7) == J.recall_of(10, 0, 0, 7) == 1 and J.recall_of(90, 30, 30, 10) < 0.9
 
 
+def test_a_bucket_eight_levels_deep_leaves_texts_with_few_buckets(spark):
+    """Each text takes one of two passages at forty places, so that a level parts a bucket in halves; two hundred texts are in none."""
+    from pyspark.sql import functions as F
+    from sondage.llm._common import text_or_empty
+
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(5000)])
+    passages = rng.choice(words, (40, 2, 8))
+    deep = [" ".join(passages[np.arange(40), rng.integers(0, 2, 40)].ravel()) for _ in range(3000)]
+    rows = list(enumerate([*deep, *(" ".join(rng.choice(words, 40)) for _ in range(200))]))
+    docs = documents(spark, rows)
+    sketches = J._sketches(docs, "doc_id", "text", 5, 2, 1).cache()
+    texts = docs.select(J._key(text_or_empty("text")).alias("key"), F.col("text").alias("t"))
+    means = []
+    deeper = lambda *a, f=J._deeper: means.append(a[4]) or f(*a)
+    old, J._deeper = J._deeper, deeper
+    try:
+        leaves = J._leaves(sketches, lambda keys: texts.join(keys.drop("rep"), "key").select("key", "paths", "t"), 5, 2, 1, 1, 2, 0.8)
+        widths = [r["count"] for r in leaves.groupBy("key").count().collect()]
+    finally:
+        J._deeper = old
+    assert len(means) >= 8 and means[:3] == [2, 2, 1.25] and means[-1] == 1.25
+    assert max(widths) < 2 * 2 ** len(means) / 2 and sum(widths) < 2 * 16 * len(deep)
+
+
+def test_in_common_counts_shared_buckets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 30)))) for _ in range(40)]
+    got = J._in_common(sets)
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
 def test_one_of_each(spark):
     rows = rows_of(seed=2, groups=4, hot=8)
     docs = documents(spark, rows)
