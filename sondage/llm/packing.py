@@ -16,6 +16,7 @@ import os
 import unicodedata
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,12 @@ class WordTokenizer:
         return [b"".join(map(known, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a worker, with the words that it remembers from one task to the next."""
+    return WordTokenizer(path)
+
+
 def _merges(path: str):
     """A function from a pre-token's bytes and ``END`` to ids; None where the file isn't of that kind."""
     with open(path, encoding="utf-8") as f:
@@ -122,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     step, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for batch in bites(batches):
             out, at = [[] for _ in arrow], []
             for k, ids in enumerate(words.ids(batch.column(1).to_pylist())):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sondage.llm._common import bites, col, shared_folder, tasks_for, text_or_empty
-from sondage.llm.packing import WordTokenizer
+from sondage.llm.packing import word_tokenizer
 
 #: Ids per word and bits per id, by selector; selector 0 is an escape.
 COUNTS = np.array([1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -337,7 +337,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, place, at = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        words, place, at = word_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         deal = lambda low, high: low + (high - low + 1) * min(place, tasks - 1) // tasks
         for batch in bites(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
