@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.plans import claims, contracts, findings, flows, further, graph, merges, obligations, scalars
+from sondage.plans import claims, contracts, findings, flows, further, graph, merges, names, obligations, scalars
 from sondage.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "claims", "contracts", "findings", "flows", "further", "graph", "merges", "obligations", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "claims", "contracts", "findings", "flows", "further", "graph", "merges", "names", "obligations", "scalars"]
