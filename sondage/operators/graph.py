@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Layers that others may not reach into, as (from, to, rule).
 FORBIDDEN_LAYERS = (
@@ -19,20 +19,30 @@ FORBIDDEN_LAYERS = (
 TRIMS = 2
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only where none is named, on one machine."""
+    sc = spark.sparkContext
+    named, now = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if now.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+        own = tempfile.mkdtemp(prefix="sondage-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+        return f"file:{own}"
+    return now.get()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Computed once, in the session's checkpoint folder; a folder is made only where none is named, on one machine.
+    """Computed once, in the session's checkpoint folder.
 
     What the optimizer knew of the rows' origin is dropped: carried from round
     to round it would double with each join.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
-            raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
-        own = tempfile.mkdtemp(prefix="sondage-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
+    shared_folder(spark)
     held = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
