@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions.scalars import relative_path
-from sondage.operators import findings as op
+from sondage.operators import findings as op, states
 from sondage.registry import query
 from sondage.session import table
 from sondage.sources import projection as P
@@ -156,12 +156,21 @@ def _(spark, sf):
     return names.join(f, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-DAYS = "c AS (SELECT * FROM f WHERE day = DATE '2024-01-11'), p AS (SELECT * FROM f WHERE day = DATE '2024-01-10')"
+NEWEST = "(SELECT max(day) FROM f)"
+BEFORE = f"(SELECT max(day) FROM f WHERE day < {NEWEST})"
+DAYS = f"c AS (SELECT * FROM f WHERE day = {NEWEST}), p AS (SELECT * FROM f WHERE day = {BEFORE})"
+
+
+def _newest(f):
+    """The rows of the newest day there is; one day is compared with, so it may be broadcast."""
+    return f.join(F.broadcast(f.agg(F.max("day").alias("__day"))), F.col("day") == F.col("__day")).drop("__day")
 
 
 def _days(spark, sf):
+    """The findings of the newest day and of the one before it."""
     f = P.findings(spark, sf).withColumn("first_seen", F.col("day"))
-    return f.where("day = date'2024-01-11'"), f.where("day = date'2024-01-10'")
+    older = f.join(F.broadcast(f.agg(F.max("day").alias("__day"))), F.col("day") < F.col("__day")).drop("__day")
+    return _newest(f), _newest(older)
 
 
 @query("file_lifecycle", f"""{WITH}, {DAYS}, l AS (SELECT rule_key, file_path, max(id) AS previous_id, arg_max(day, id) AS seen FROM p GROUP BY 1, 2)
@@ -197,18 +206,17 @@ def _(spark, sf):
     return op.replay(log, 17)
 
 
-@query("active_after_diff", f"{WITH} SELECT id FROM f WHERE day = DATE '2024-01-10' AND id % 6 <> 0 UNION ALL SELECT id FROM f WHERE day = DATE '2024-01-11' AND id % 4 = 0")
+@query("active_after_diff", f"{WITH} SELECT id FROM f WHERE day = {BEFORE} AND id % 6 <> 0 UNION SELECT id FROM f WHERE day = {NEWEST} AND id % 4 = 0")
 def _(spark, sf):
     c, p = _days(spark, sf)
-    resolved = p.where("id % 6 = 0").select("id")
-    return p.join(resolved, "id", "left_anti").select("id").unionByName(c.where("id % 4 = 0").select("id"))
+    return states.active_set(p, c.where("id % 4 = 0"), p.where("id % 6 = 0"))
 
 
-@query("affected_nodes", f"""{WITH}, ch AS (SELECT DISTINCT file_path FROM f WHERE day = DATE '2024-01-11' AND severity = 'critical')
+@query("affected_nodes", f"""{WITH}, ch AS (SELECT DISTINCT file_path FROM f WHERE day = {NEWEST} AND severity = 'critical')
 SELECT DISTINCT kind, key FROM (SELECT 'service' AS kind, service AS key FROM f SEMI JOIN ch USING (file_path) UNION ALL SELECT 'module', service || '::' || module FROM f SEMI JOIN ch USING (file_path) WHERE module IS NOT NULL)""")
 def _(spark, sf):
     f = P.findings(spark, sf)
-    changed = f.where("day = date'2024-01-11' and severity = 'critical'").select("file_path").distinct()
+    changed = _newest(f).where("severity = 'critical'").select("file_path").distinct()
     hit = f.join(changed, "file_path", "left_semi").select("service", "module").distinct()
     both = hit.select(F.lit("service").alias("kind"), F.col("service").alias("key")).unionByName(hit.where("module is not null").select(F.lit("module").alias("kind"), F.concat_ws("::", "service", "module").alias("key")))
     return both.distinct()
