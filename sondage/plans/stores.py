@@ -10,6 +10,7 @@ from sondage.operators.graph import shared_folder
 from sondage.registry import query
 from sondage.sources import projection as P
 from sondage.sources.snapshots import SnapshotStore
+from sondage.streaming.recompute import FindingsState
 
 #: Drifts: a rule's state in a file, as each fifth of the findings' days finds it; a third of the findings takes it away.
 DRIFTS_SQL = """SELECT rule_key, file_path, id, severity, status = 'resolved' AS gone, CAST(floor(datediff('day', DATE '2024-01-01', day) / 6.0) AS INT) AS step FROM f"""
@@ -44,3 +45,21 @@ def _(spark, sf):
     store = _store(spark, sf)
     store.compact("repo", "s1")
     return store.diff("repo", "s1", "s3")
+
+
+#: What one user did on a day is a scan of a file; views are scans that found nothing.
+SCANS_SQL = "SELECT 'f' || CAST(user_id AS VARCHAR) AS file_path, event_type AS rule_key, CAST(ts AS DATE) AS day FROM events"
+
+
+@query("findings_incremental", f"""WITH s AS (SELECT DISTINCT file_path, datediff('day', DATE '2024-01-01', day) AS scan, CASE WHEN rule_key = 'view' THEN '' ELSE rule_key END AS rule_key FROM ({SCANS_SQL})),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY file_path ORDER BY scan) AS k FROM s), l AS (SELECT file_path, max(k) AS last FROM k GROUP BY 1), n AS (SELECT DISTINCT file_path, k, scan FROM k),
+i AS (SELECT file_path, rule_key, scan, k, k - row_number() OVER (PARTITION BY file_path, rule_key ORDER BY k) AS g FROM k WHERE rule_key <> ''),
+t AS (SELECT file_path, rule_key, min(scan) AS first_seen, max(scan) AS last_seen, max(k) AS k, row_number() OVER (PARTITION BY file_path, rule_key ORDER BY max(k) DESC) AS r FROM i GROUP BY file_path, rule_key, g)
+SELECT t.file_path, rule_key, CASE WHEN t.k = last THEN 'active' ELSE 'resolved' END AS status, first_seen, last_seen, n.scan AS resolved_at FROM t JOIN l USING (file_path) LEFT JOIN n ON n.file_path = t.file_path AND n.k = t.k + 1 WHERE r = 1""")
+def _(spark, sf):
+    day = F.datediff("day", F.lit("2024-01-01")).cast("long")
+    scans = P.view(spark, sf, SCANS_SQL).select("file_path", day.alias("scan"), F.when(F.col("rule_key") != "view", F.col("rule_key")).alias("rule_key"))
+    state = FindingsState(spark, f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}", compact_every=2)
+    for number, part in enumerate((2, 0, 1)):  # batches of days, out of order
+        state.update(scans.where(F.col("scan") % 3 == part), number)
+    return state.current()
