@@ -139,15 +139,22 @@ def function_filter(is_async: bool | None = None, is_handler: bool | None = None
 def unused_exports(exports: DataFrame, uses: DataFrame) -> DataFrame:
     """(file, name): exports whose name no other file's use holds, as a part of it even.
 
-    A name meets only uses that hold its first three letters, found by an equi
-    join on the uses' distinct stretches of that length.
+    A name meets only uses that hold the rarest of its stretches of three
+    letters (of fewer, where it is shorter), by counts over all uses: what
+    thousands of names begin with, such as ``get``, brings none together. A
+    name with a stretch that no use holds meets none.
     """
-    width = F.least(F.length("name"), F.lit(3))
-    names = exports.where("name <> ''").withColumn("n", width).withColumn("gram", F.expr("substring(name, 1, n)"))
+    stretches = lambda c, k: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - {k - 1}), i -> substring({c}, i, {k}))"))).alias("gram")
+    grams = lambda rows, c: [rows.where(F.length(c) >= k).select("*", F.lit(k).alias("n"), stretches(c, k)) for k in (1, 2, 3)]
     held = uses.select(F.col("file").alias("user"), "used").distinct()
-    grams = [held.where(F.length("used") >= k).select("user", "used", F.lit(k).alias("n"), F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(used) - {k - 1}), i -> substring(used, i, {k}))"))).alias("gram")) for k in (1, 2, 3)]
-    pairs = names.join(grams[0].unionByName(grams[1]).unionByName(grams[2]), ["n", "gram"])
-    hit = pairs.where((F.col("user") != F.col("file")) & F.contains("used", F.col("name"))).select("file", "name").distinct()
+    all_held = grams(held, "used")
+    all_held = all_held[0].unionByName(all_held[1]).unionByName(all_held[2])
+    names = exports.where("name <> ''").select("name").distinct()
+    own = grams(names, "name")
+    own = own[0].where(F.length("name") == 1).unionByName(own[1].where(F.length("name") == 2)).unionByName(own[2])
+    counted = own.join(all_held.groupBy("n", "gram").agg(F.count("*").alias("uses")), ["n", "gram"], "left").fillna(0, ["uses"])
+    rarest = counted.groupBy("name").agg(F.min_by(F.struct("n", "gram", "uses"), F.struct("uses", "gram")).alias("r")).where("r.uses > 0").select("name", "r.n", "r.gram")
+    hit = exports.select("file", "name").join(rarest, "name").join(all_held, ["n", "gram"]).where((F.col("user") != F.col("file")) & F.contains("used", F.col("name"))).select("file", "name").distinct()
     return exports.where("name <> ''").join(hit, ["file", "name"], "left_anti").select("file", "name")
 
 
