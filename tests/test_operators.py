@@ -100,6 +100,20 @@ def test_claims_settle_by_each_pass(spark):
     assert {r.subject: (r.how, r.chosen) for r in claims.settle(df).collect()} == {"same": ("identical", 2), "status": ("status", 4), "rank": ("dominance", 5), "open": ("conflict", 8)}
 
 
+def test_innermost_against_every_range_however_long(spark):
+    import random
+
+    rng = random.Random(3)
+    ranges = [(k, rng.randrange(2), a := rng.randrange(-40, 300), a + rng.choice([-1, 0, 1, 7, 50, 200, 1000])) for k in range(300)] + [(900, 0, None, 5), (901, 0, 5, None), (902, 0, 5, 10**13)]
+    points = [(k, rng.randrange(3), rng.randrange(-60, 500)) for k in range(400)] + [(1000, 0, None), (1001, 0, 10**12 + 77)]
+    p, r = spark.createDataFrame(points, "point_id long, file int, line long"), spark.createDataFrame(ranges, "method_id long, file int, line_start long, line_end long")
+    held = {k: [(b - a, m) for m, f, a, b in ranges if None not in (a, b, line) and f == file and a <= line <= b] for k, file, line in points}
+    assert {tuple(x) for x in graph.innermost(p, r).collect()} == {(k, min(v)[1]) for k, v in held.items() if v}
+    # 3,000 ranges around each of 3,000 lines
+    many = graph.innermost(spark.range(3000).selectExpr("id AS point_id", "0 AS file", "10000 + id AS line"), spark.range(3000).selectExpr("id AS method_id", "0 AS file", "id AS line_start", "20000 + 2 * id AS line_end"))
+    assert many.agg({"point_id": "count", "method_id": "sum"}).first()[:] == (3000, 0)
+
+
 def test_mounted_routes_at_any_depth(spark):
     mounts = [(k, k + 1, f"/m{k}") for k in range(12)] + [(0, 12, "/short"), (12, 11, "/back"), (31, 32, "/a"), (32, 31, "/b")]
     routes = [(12, "/deep"), (40, "/alone"), (31, "/loop"), (0, "/root")]
