@@ -109,6 +109,7 @@ def test_innermost_against_every_range_however_long(spark):
     p, r = spark.createDataFrame(points, "point_id long, file int, line long"), spark.createDataFrame(ranges, "method_id long, file int, line_start long, line_end long")
     held = {k: [(b - a, m) for m, f, a, b in ranges if None not in (a, b, line) and f == file and a <= line <= b] for k, file, line in points}
     assert {tuple(x) for x in graph.innermost(p, r).collect()} == {(k, min(v)[1]) for k, v in held.items() if v}
+    assert {tuple(x) for x in graph.innermost(p, r, first=True).collect()} == {(k, min(m for _, m in v)) for k, v in held.items() if v}
     # 3,000 ranges around each of 3,000 lines
     many = graph.innermost(spark.range(3000).selectExpr("id AS point_id", "0 AS file", "10000 + id AS line"), spark.range(3000).selectExpr("id AS method_id", "0 AS file", "id AS line_start", "20000 + 2 * id AS line_end"))
     assert many.agg({"point_id": "count", "method_id": "sum"}).first()[:] == (3000, 0)
