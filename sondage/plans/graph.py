@@ -182,7 +182,7 @@ SELECT child AS router, path AS prefix FROM mt WHERE parent < 100 UNION ALL SELE
 def _(spark, sf):
     mounts = P.view(spark, sf, """SELECT n_regionkey AS parent, 100 + n_nationkey AS child, '/' || lower(replace(n_name, ' ', '-')) AS path FROM nation
     UNION ALL SELECT 100 + n_nationkey, 200 + n_nationkey % 4, '/v' || n_nationkey % 4 FROM nation WHERE n_nationkey < 8""")
-    routes = P.view(spark, sf, "SELECT 100 + n_nationkey AS router, '/items/{{id}}' AS route FROM nation UNION ALL SELECT 200 + n_nationkey % 4, '/deep' FROM nation WHERE n_nationkey < 4")
+    routes = P.view(spark, sf, "SELECT 100 + n_nationkey AS router, '/items/{id}' AS route FROM nation UNION ALL SELECT 200 + n_nationkey % 4, '/deep' FROM nation WHERE n_nationkey < 4")
     return op.mounted_routes(mounts, routes)
 
 

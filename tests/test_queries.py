@@ -73,3 +73,10 @@ def test_the_entry_works_without_the_optional_subpackage(tmp_path, left):
     (tmp_path / "sondage/llm/queries.py").write_text("import no_such_library\n")
     (tmp_path / "corpus_pipeline.py").write_text("")
     assert "no_such_library" in subprocess.run(ask, cwd=tmp_path, env=env, capture_output=True, text=True).stderr
+
+
+def test_texts_over_the_tables_keep_their_braces(spark, sf):
+    from sondage.sources import projection
+
+    assert projection.view(spark, sf, "SELECT DISTINCT '/items/{id}' AS route FROM nation").collect()[0].route == "/items/{id}"
+    assert {r.full_path for r in catalog.QUERIES["mounted_routes"](spark, sf).collect() if "items" in r.full_path and "nation_0/" in r.full_path} == {"/nation_0/items/{id}"}
