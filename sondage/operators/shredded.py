@@ -131,19 +131,26 @@ def last_words(nodes: DataFrame) -> DataFrame:
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    """A row per group: its counts and the claims that come first in the several orders."""
+    """A row per group: its counts, what all its claims share, and the claims that come first in the several orders.
+
+    Whether they share something is told by its least and its greatest value, as
+    counts of distinct ones would take a copy of all rows each. ``open``: the
+    group's contents have to be compared.
+    """
     claim = F.struct("id", "canon", "status")
     definition = F.col("kind") == "definition"
     first = lambda *order: F.min_by(claim, F.struct(*order, "touched", "id"))
+    one = lambda c: F.min(c) == F.max(c)
     counts = F.array(*[F.count_if(F.col("rank") == r) for r in range(max(AUTHORITY.values()) + 1)])
     facts = rows.groupBy(*G).agg(
-        F.count("*").alias("n"), F.count_distinct("print").alias("prints"), F.count_distinct("canon").alias("contents"), F.count_distinct("file").alias("files"),
-        F.count_distinct(F.coalesce("status", F.lit(""))).alias("statuses"), counts.alias("ranks"), first().alias("head"), first(-F.col("priority")).alias("by_status"),
+        F.count("*").alias("n"), one(F.col("canon")).alias("one_content"), one(F.col("file")).alias("one_file"),
+        one(F.coalesce("status", F.lit(""))).alias("one_status"), counts.alias("ranks"), first().alias("head"), first(-F.col("priority")).alias("by_status"),
         first(-F.col("rich")).alias("richest"), first(-F.col("rank")).alias("top"), F.max_by(claim, F.struct("rank", "touched", "rich", -F.col("id"))).alias("default"),
         F.count_if(definition).alias("definitions"), F.count_if(F.col("kind") == "constraint").alias("constraints"),
         F.min_by(claim, F.when(definition, F.col("at"))).alias("defined"),
     )
     held = F.filter(F.sequence(F.lit(0), F.size("ranks") - 1), lambda r: F.get("ranks", r) > 0)
+    facts = facts.withColumn("open", ~(F.col("one_content") | (F.col("one_file") & (F.col("topic") == "overview"))))
     return facts.withColumn("held", held).withColumn("gap", F.when((F.size("held") > 1) & (F.get("ranks", F.element_at("held", -1)) == 1), F.element_at("held", -1) - F.element_at("held", -2)).otherwise(0)).drop("ranks", "held")
 
 
@@ -170,8 +177,17 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     empty result.
     """
     rows = kept(active(claims))
+    every = kept(_facts(rows))
+    facts = every.where("open")
+    # groups that their facts settle are neither shredded nor joined
+    at_once = (
+        F.when(F.col("n") == 1, "single").when(F.col("one_content") & F.col("one_status"), "identical").when(F.col("one_content"), "status").otherwise("same-file")
+    )
+    done = every.where("not open").withColumn("how", at_once)
+    done = done.withColumn("c", F.when(F.col("how") == "status", F.col("by_status")).when(F.col("how") == "same-file", F.col("richest")).otherwise(F.col("head")))
+    done = done.select(*G, "how", F.col("c.id").alias("chosen"), F.col("c.canon").alias("content"), "n", F.lit(None).cast("string").alias("conflict_id"), F.lit(None).cast("long").alias("candidates"))
+    rows = kept(rows.join(facts.select(*G), G, "left_semi"))
     nodes = kept(shred(rows))
-    facts = kept(_facts(rows))
     flag = lambda df, name: df.withColumn(name, F.lit(True))
     apart = disagreeing(nodes, G).unionByName(unordered(nodes)).distinct()
     dominant = facts.where(F.col("gap") >= DOMINANCE).select(*G, "top.id")
@@ -189,15 +205,13 @@ def merge_claims(claims: DataFrame) -> DataFrame:
         facts.join(flag(apart, "apart"), G, "left").join(flag(beyond(nodes, dominant), "beyond"), G, "left").join(one, G, "left")
     )
     covered = F.col("apart").isNull()
-    same = F.col("files") == 1
     how = (
-        F.when(F.col("n") == 1, "single").when(F.col("prints") == 1, "identical").when(F.col("contents") == 1, "status")
-        .when(same & (F.col("topic").isin("overview", "data") | covered), "same-file")
+        F.when(F.col("one_file") & ((F.col("topic") == "data") | covered), "same-file")
         .when((F.col("gap") >= DOMINANCE) & F.col("beyond").isNull(), "dominance")
-        .when((F.col("statuses") == 1) & covered, "superset").when(F.col("folds") == 1, "constrained").otherwise("conflict")
+        .when(F.col("one_status") & covered, "superset").when(F.col("folds") == 1, "constrained").otherwise("conflict")
     )
     settled = kept(known.withColumn("how", how))
-    unite = settled.where("how = 'superset' or (how = 'same-file' and topic not in ('overview', 'data'))").select(*G)
+    unite = settled.where("how = 'superset' or (how = 'same-file' and topic <> 'data')").select(*G)
     written = settled.where("how = 'same-file' and topic = 'data'").select(*G)
     united = nodes.join(unite, G, "left_semi").select(*G, "path", "value").distinct()
     merged = assemble(united.unionByName(last_words(nodes.join(written, G, "left_semi"))), G)
@@ -205,13 +219,13 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     open_ = settled.where("how = 'conflict'").select(*G)
     contents = rows.join(open_, G, "left_semi").join(agreed, G, "left_anti").select(*G, F.col("canon").alias("content")).unionByName(folded.join(open_, G, "left_semi").select(*G, "content"))
     chosen = (
-        F.when(F.col("how") == "status", F.col("by_status")).when((F.col("how") == "same-file") & (F.col("topic") == "overview"), F.col("richest")).when(F.col("how") == "dominance", F.col("top"))
-        .when(F.col("how") == "constrained", F.col("defined")).when(F.col("how") == "conflict", F.when(F.col("folds").isNull(), F.col("default"))).otherwise(F.col("head"))
+        F.when(F.col("how") == "dominance", F.col("top")).when(F.col("how") == "constrained", F.col("defined"))
+        .when(F.col("how") == "conflict", F.when(F.col("folds").isNull(), F.col("default"))).otherwise(F.col("head"))
     )
     pick = _defaults(rows.where("kind = 'definition'").join(open_, G, "left_semi").join(agreed, G, "left_semi"), folded)
     out = settled.withColumn("c", chosen).join(merged, G, "left").join(_digest(contents, G), G, "left").join(pick, G, "left")
     content = F.when(F.col("how") == "constrained", F.col("fold")).when(F.col("how") != "conflict", F.coalesce("content", "c.canon"))
-    return out.select(*G, "how", F.coalesce("pick", "c.id").alias("chosen"), content.alias("content"), "n", "conflict_id", "candidates")
+    return done.unionByName(out.select(*G, "how", F.coalesce("pick", "c.id").alias("chosen"), content.alias("content"), "n", "conflict_id", "candidates"))
 
 
 def _defaults(definitions: DataFrame, folded: DataFrame) -> DataFrame:

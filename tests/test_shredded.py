@@ -149,3 +149,13 @@ def test_empty_sources_and_decisions(spark):
 def test_no_python_runs(spark):
     rows = spark.createDataFrame([(1, "auth", "s", "f", None, '{"a":1}', None, None, 1)], SCHEMA)
     assert "Python" not in shredded.merge_claims(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_groups_that_facts_leave_open_are_shredded(spark, monkeypatch):
+    seen, real = [], shredded.shred
+    monkeypatch.setattr(shredded, "shred", lambda rows: seen.extend(r.subject for r in rows.select("subject").collect()) or real(rows))
+    rows = [(1, "auth", "single", "f", None, '{"a":1}', None, None, 1), (2, "auth", "open", "f", None, '{"a":1}', None, None, 1), (3, "auth", "open", "g", None, '{"a":2}', None, None, 2)]
+    rows += [(4, "auth", "same", "f", None, '{"a":1}', None, None, 1), (5, "auth", "same", "g", None, '{"a": 1}', None, None, 2), (6, "auth", "status", "f", None, "{}", None, None, 1), (7, "auth", "status", "f", None, "{}", "shipped", None, 1)]
+    rows += [(8, "overview", "rich", "f", None, '{"a":1}', None, None, 1), (9, "overview", "rich", "f", None, '{"a":2,"b":3}', None, None, 2)]
+    assert check(spark, rows) == {"single", "identical", "status", "same-file", "conflict"}
+    assert sorted(seen) == ["open", "open"]
