@@ -33,6 +33,20 @@ def plain_globals(usings: DataFrame) -> DataFrame:
     return usings.where("is_global").select("file", "target")
 
 
+def candidates(seen: DataFrame, placed: DataFrame, project_refs: DataFrame, open_to: Column) -> DataFrame:
+    """(file, name, namespace, visibility, b, rank): what plain names may mean, by namespace and project (b), however many files declare it there.
+
+    seen: file, name, namespace, a (the file's project); placed: type,
+    namespace, visibility, b and others. The files come in once it is known
+    which of these counts.
+    """
+    spots = placed.select(F.col("type").alias("name"), "namespace", "visibility", "b").distinct()
+    near = project_refs.select(F.col("project").alias("a"), F.col("referenced").alias("b")).distinct().withColumn("near", F.lit(True))
+    rank = F.when(F.col("a") == F.col("b"), 0).when(F.col("near"), 1).otherwise(2)
+    rows = seen.join(spots, ["name", "namespace"]).where(open_to).join(near, ["a", "b"], "left")
+    return rows.select("file", "name", "namespace", "visibility", "b", F.coalesce(rank, F.lit(2)).alias("rank"))
+
+
 def resolved(types: DataFrame, files: DataFrame, declared: DataFrame, usings: DataFrame, refs: DataFrame, project_refs: DataFrame) -> DataFrame:
     """(file, name, target, type): the files whose types each name means; an ambiguous or unknown name has no row.
 
@@ -52,21 +66,19 @@ def resolved(types: DataFrame, files: DataFrame, declared: DataFrame, usings: Da
     parts = asked.where("whole").select("file", "name", F.explode(_prefixes(F.col("path"))).alias("full")).withColumn("length", F.length("full"))
     known = parts.join(full.select("full").distinct(), "full", "left_semi")
     longest = known.groupBy("file", "name").agg(F.max_by("full", "length").alias("full"))
-    found = longest.join(full, "full").select("file", "name", "type", "namespace", "target", "visibility", F.lit(True).alias("whole"))
-    seen = asked.where("not whole").select("file", "name").join(visible_namespaces(files, declared, usings), "file")
-    plain = seen.join(full.withColumnRenamed("type", "name"), ["name", "namespace"]).select("file", "name", F.col("name").alias("type"), "namespace", "target", "visibility", F.lit(False).alias("whole"))
-    source, target = files.select("file", F.col("project").alias("a")), files.select(F.col("file").alias("target"), F.col("project").alias("b"))
-    near = project_refs.select(F.col("project").alias("a"), F.col("referenced").alias("b")).distinct().withColumn("near", F.lit(True))
-    rows = found.unionByName(plain).join(source, "file", "left").join(target, "target", "left").join(near, ["a", "b"], "left")
-    rows = rows.where((F.col("visibility") == "public") | F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")))
-    rank = F.when(F.col("a") == F.col("b"), 0).when(F.col("near"), 1).otherwise(2)
-    ranked = rows.withColumn("rank", F.coalesce(rank, F.lit(2)))
-    spaces = ranked.where("not whole").groupBy("file", "name", "rank").agg(F.count_distinct("namespace").alias("spaces"), F.min("namespace").alias("least"))
+    source = files.select("file", F.col("project").alias("a"))
+    placed = full.join(files.select(F.col("file").alias("target"), F.col("project").alias("b")), "target", "left")
+    open_to = (F.col("visibility") == "public") | F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b"))
+    found = longest.join(placed, "full").join(source, "file", "left").where(open_to).select("file", "name", "target", "type")
+    seen = asked.where("not whole").select("file", "name").join(visible_namespaces(files, declared, usings), "file").join(source, "file", "left")
+    ranked = candidates(seen, placed, project_refs, open_to)
+    spaces = ranked.groupBy("file", "name", "rank").agg(F.count_distinct("namespace").alias("spaces"), F.min("namespace").alias("least"))
     best = spaces.groupBy("file", "name").agg(F.min(F.struct("rank", "spaces")).alias("b"), F.min("least").alias("low"), F.max("least").alias("high"), F.max("spaces").alias("most"))
     # one namespace in all ranks, or else one in the nearest rank
     best = best.select("file", "name", F.when((F.col("low") == F.col("high")) & (F.col("most") == 1), 2).when(F.col("b.spaces") == 1, F.col("b.rank")).otherwise(-1).alias("upto"))
-    kept = ranked.where("whole").select("file", "name", "target", "type").unionByName(ranked.where("not whole").join(best, ["file", "name"]).where("rank <= upto").select("file", "name", "target", "type"))
-    return kept.distinct()
+    meant = ranked.join(best, ["file", "name"]).where("rank <= upto").select("file", "name", "namespace", F.col("visibility").alias("v"), F.col("b").alias("p")).distinct()
+    at = (F.col("type") == F.col("name")) & (placed["namespace"] == meant["namespace"]) & F.col("v").eqNullSafe(F.col("visibility")) & F.col("p").eqNullSafe(F.col("b"))
+    return found.unionByName(meant.join(placed, at).select("file", "name", "target", "type")).distinct()
 
 
 def symbol_edges(found: DataFrame) -> DataFrame:

@@ -24,3 +24,19 @@ def test_each_way_of_naming_a_type(spark):
     edges = {(r.source, r.target): r.names for r in symbols.symbol_edges(found).collect()}
     assert edges["a1", "b1"] == ["Both", "Part", "Stat", "Unseen", "Up"] and edges["a1", "c1"] == ["Glob", "Out"]
     assert symbols.resolved(types.limit(0), files, declared, usings.limit(0), refs, near).count() == 0
+
+
+def test_names_that_many_files_declare_are_ranked_by_project(spark):
+    from pyspark.sql import functions as F
+
+    files = [(f"t{k}", "A" if k % 2 else None) for k in range(100)] + [("x", "A"), ("y", "B")]
+    types = [("T", "N", f"t{k}", "internal" if k % 4 == 1 else "public") for k in range(100)] + [("T", "M", "t1", "public")]
+    seen = spark.createDataFrame([("x", "T", "N", "A"), ("y", "T", "N", "B")], "file string, name string, namespace string, a string")
+    f, t = spark.createDataFrame(files, "file string, project string"), spark.createDataFrame(types, "name string, namespace string, file string, visibility string")
+    refs, near = spark.createDataFrame([("x", "T"), ("y", "T")], "file string, name string"), spark.createDataFrame([], "project string, referenced string")
+    placed = t.join(f, "file").select(F.col("name").alias("type"), "namespace", F.col("file").alias("target"), "visibility", F.col("project").alias("b"))
+    assert symbols.candidates(seen, placed, near, F.lit(True)).count() == 6
+    usings = spark.createDataFrame([("x", "N", None, False, False), ("y", "N", None, False, False)], "file string, target string, alias string, is_static boolean, is_global boolean")
+    got = symbols.resolved(t, f, spark.createDataFrame([], "file string, namespace string"), usings, refs, near).collect()
+    want = {("x", "T", f"t{k}", "T") for k in range(100)} | {("y", "T", f"t{k}", "T") for k in range(100) if k % 4 != 1}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
