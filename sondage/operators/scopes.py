@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Declarations that may be used above where they stand, and kinds whose place says nothing.
 HOISTED = ("var", "function", "import", "global", "nonlocal", "for-variable", "catch-parameter")
-CLOSE, OPEN, POINT = 0, 1, 2
+CLOSE, OUTSIDE, OPEN, POINT = 0, 1, 2, 3
 
 
 def nearest(intervals: DataFrame, points: DataFrame, by: list[str], value: str, own: bool = True) -> DataFrame:
@@ -30,23 +30,25 @@ def nearest(intervals: DataFrame, points: DataFrame, by: list[str], value: str,
     A point is an interval too (begin, end), that of the scope it is in; with
     ``own`` an interval equal to it counts as one around it.
     """
-    row = F.struct(*[c for c in points.columns if c not in by])
+    row = F.struct(*[c for c in points.columns if c not in (*by, "begin", "end")])
     what = F.struct(F.col(value).alias("v"))
     held = lambda df, x: df.select(x.alias("x")).schema["x"].dataType
 
-    def event(rows: DataFrame, pos: str, kind: int, tie: int) -> DataFrame:
+    def event(rows: DataFrame, pos: str, kind: int) -> DataFrame:
         opened = what if kind == OPEN else F.lit(None).cast(held(intervals, what))
-        point = row if kind == POINT else F.lit(None).cast(held(points, row))
-        return rows.select(*by, F.col(pos).alias("pos"), F.lit(int(kind != CLOSE)).alias("after"), (-F.col("end")).alias("wide"), F.lit(tie).alias("tie"), F.lit(kind).alias("type"), opened.alias("opened"), point.alias("row"))
+        point = row if kind in (OUTSIDE, POINT) else F.lit(None).cast(held(points, row))
+        wide = F.lit(None).cast(held(rows, -F.col("end"))) if kind == CLOSE else -F.col("end")
+        return rows.select(*by, F.col(pos).alias("pos"), wide.alias("wide"), F.lit(kind).cast("byte").alias("type"), opened.alias("opened"), point.alias("row"))
 
-    # at one place: what closes, then the widest scope with its own points, then the next within it
-    order = ["pos", "after", "wide", "tie"]
-    events = event(intervals, "begin", OPEN, 1).unionByName(event(intervals, "end", CLOSE, 1)).unionByName(event(points, "begin", POINT, 2 if own else 0))
+    # at one place: what closes (null comes first), then the widest scope with its own points, then the next within it
+    order = ["pos", "wide", "type"]
+    events = event(intervals, "begin", OPEN).unionByName(event(intervals, "end", CLOSE)).unionByName(event(points, "begin", POINT if own else OUTSIDE))
     step = F.when(F.col("type") == OPEN, 1).when(F.col("type") == CLOSE, -1).otherwise(0)
     up_to_here = lambda *keys: W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     deep = events.withColumn("depth", F.sum(step).over(up_to_here(*by))).where(F.col("type") != CLOSE)
-    found = deep.withColumn("found", F.last("opened", True).over(up_to_here(*by, "depth"))).where(F.col("type") == POINT)
-    return found.select(*by, "row.*", F.when(F.col("depth") > 0, F.col("found.v")).alias(value))
+    found = deep.withColumn("found", F.last("opened", True).over(up_to_here(*by, "depth"))).where(F.col("type") != OPEN)
+    ends = [F.col("pos").alias("begin"), (-F.col("wide")).alias("end")]
+    return found.select(*by, "row.*", *ends, F.when(F.col("depth") > 0, F.col("found.v")).alias(value))
 
 
 def _first(declarations: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def used_before_defined(scopes: DataFrame, declarations: DataFrame, uses: DataFr
     Hoisted kinds don't count, nor uses in a function within the declaring
     scope (they run later) or in a type.
     """
-    bound = resolve(scopes, declarations, uses.where("not type_position")).where("declared is not null")
+    bound = resolve(scopes, declarations, uses.where("not type_position").select("path", "scope", "name", "at")).where("declared is not null")
     of = scopes.where("kind = 'function'").select("path", "begin", "end", F.struct("scope", "begin", "end").alias("fn"))
     inside = nearest(of, scopes.select("path", "scope", "begin", "end"), ["path"], "fn").select("path", "scope", "fn")
     outer = scopes.select("path", F.col("scope").alias("declared"), F.col("begin").alias("b"), F.col("end").alias("e"))
@@ -92,7 +94,7 @@ def unused(scopes: DataFrame, declarations: DataFrame, uses: DataFrame) -> DataF
     Exported ones, parameters that begin with ``_`` and names between double
     underscores don't count.
     """
-    bound = resolve(scopes, declarations, uses).where("declared is not null").select("path", F.col("declared").alias("scope"), "name").distinct()
+    bound = resolve(scopes, declarations, uses.select("path", "scope", "name")).where("declared is not null").select("path", F.col("declared").alias("scope"), "name").distinct()
     quiet = F.col("exported") | ((F.col("kind") == "parameter") & F.startswith(F.col("name"), F.lit("_"))) | (F.startswith(F.col("name"), F.lit("__")) & F.endswith(F.col("name"), F.lit("__")))
     return _first(declarations).where(~F.coalesce(quiet, F.lit(False))).join(bound, ["path", "scope", "name"], "left_anti").select("path", "scope", "name", "kind", "at")
 
@@ -106,9 +108,12 @@ def undeclared(scopes: DataFrame, declarations: DataFrame, uses: DataFrame, know
 def private_members(scopes: DataFrame, declarations: DataFrame, uses: DataFrame) -> DataFrame:
     """(path, scope, name, written, read, called): private members of classes and what is done to them."""
     classes = scopes.where("kind = 'class'").select("path", "scope")
-    members = _first(declarations).where("private").join(classes, ["path", "scope"], "left_semi").select("path", "scope", "name")
+    # no other name of a file bears on what its private ones are bound to
+    names = declarations.where("private").select("path", "name").distinct()
+    named = lambda rows: rows.join(names, ["path", "name"], "left_semi")
+    members = _first(named(declarations)).where("private").join(classes, ["path", "scope"], "left_semi").select("path", "scope", "name")
     did = lambda role: F.coalesce(F.max(F.col("role") == role), F.lit(False))
-    bound = resolve(scopes, declarations, uses).where("declared is not null").select("path", F.col("declared").alias("scope"), "name", "role")
+    bound = resolve(scopes, named(declarations), named(uses.select("path", "scope", "name", "role"))).where("declared is not null").select("path", F.col("declared").alias("scope"), "name", "role")
     return members.join(bound, ["path", "scope", "name"], "left").groupBy("path", "scope", "name").agg(did("write").alias("written"), did("read").alias("read"), did("call").alias("called"))
 
 

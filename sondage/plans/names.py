@@ -17,6 +17,10 @@ DECLARED_SQL = f"""SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS path, CASE WHEN l
 CASE l_partkey % 5 WHEN 0 THEN 'const' WHEN 1 THEN 'let' WHEN 2 THEN 'var' WHEN 3 THEN 'parameter' ELSE 'function' END AS kind, l_orderkey % 4096 AS at, l_partkey % 11 = 0 AS exported, l_partkey % 17 = 0 AS private FROM ({LINES}) WHERE l_orderkey % 3 = 0"""
 USED_SQL = f"""SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS path, level * 100000 + slot AS scope, CASE WHEN l_partkey % 13 = 0 THEN '_' ELSE '' END || 'v' || CAST(l_partkey % 24 AS VARCHAR) AS name, l_partkey % 4096 AS at,
 CASE l_linenumber % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'call' END AS role, l_returnflag = 'R' AS type_position FROM ({LINES})"""
+#: The same scopes for Spark: its tasks hold the distinct rows of what they read, so these are two numbers and not texts.
+DEALT_SQL = f"""SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS path, scope, {KIND} AS kind, scope % 100000 * width AS begin, scope % 100000 * width + width AS end_
+FROM (SELECT l_suppkey, scope, CAST({WIDTH.replace(LEVEL, "CAST(floor(scope / 100000) AS INT)")} AS BIGINT) AS width FROM (SELECT DISTINCT l_suppkey, level * 100000 + slot AS scope FROM ({LINES})))
+UNION ALL SELECT 'f' || CAST(l_suppkey AS VARCHAR), 0, 'module', 0, 4096 FROM (SELECT DISTINCT l_suppkey FROM lineitem)"""
 
 WITH = f"""WITH s AS MATERIALIZED (SELECT path, scope, kind, begin AS b, end_ AS e FROM ({SCOPES_SQL})),
 d AS MATERIALIZED (SELECT x.*, s.b, s.e FROM (SELECT path, scope, name, min(struct_pack(ord := at, kind := kind, exported := exported, private := private)) AS m FROM ({DECLARED_SQL.replace(' AS at', ' AS at')}) GROUP BY 1, 2, 3) x JOIN s USING (path, scope)),
@@ -25,7 +29,7 @@ r AS MATERIALIZED (SELECT u.path, u.scope, u.name, u.at, u.role, u.type_position
 
 
 def _tables(spark, sf):
-    scopes, declared, used = (P.view(spark, sf, text) for text in (SCOPES_SQL, DECLARED_SQL, USED_SQL))
+    scopes, declared, used = (P.view(spark, sf, text) for text in (DEALT_SQL, DECLARED_SQL, USED_SQL))
     return scopes.withColumnRenamed("end_", "end"), declared, used
 
 

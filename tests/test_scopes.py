@@ -88,3 +88,24 @@ def test_python_names(spark):
     assert {r.name for r in op.shadowed(scopes, declared).collect()} == {"x"}
     assert {r.name for r in op.undeclared(scopes, declared, used, spark.createDataFrame([("print",)], "name string")).collect()} == {"z"}
     assert [(r.name, r.read) for r in op.private_members(scopes, declared, used).collect()] == [("_p", True)]
+
+
+def test_what_goes_through_the_sweep_is_no_more_than_it_needs(spark, monkeypatch):
+    seen, real = [], op.nearest
+    monkeypatch.setattr(op, "nearest", lambda intervals, points, *a, **k: seen.append((intervals, points)) or real(intervals, points, *a, **k))
+    scopes, _, declared, used = trees(4)
+    s, d, u = (spark.createDataFrame(rows, schema) for rows, schema in ((scopes, SCOPES), (declared, DECLARED), (used, USED)))
+    op.private_members(s, d, u)
+    assert {r.name for df in seen.pop() for r in df.select("name").distinct().collect()} == {"_c"}
+    op.unused(s, d, u)
+    assert set(seen.pop()[1].columns) == {"path", "scope", "name", "begin", "end"}
+    op.used_before_defined(s, d, u)
+    assert set(seen[0][1].columns) == {"path", "scope", "name", "at", "begin", "end"}
+
+
+def test_scopes_dealt_as_numbers_are_those_of_the_sql(spark, sf):
+    from sondage.plans import names
+    from sondage.sources import projection
+
+    mine, sql = (sorted(map(tuple, projection.view(spark, sf, text).collect())) for text in (names.DEALT_SQL, names.SCOPES_SQL))
+    assert mine == sql and mine
