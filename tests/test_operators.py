@@ -115,6 +115,28 @@ def test_innermost_against_every_range_however_long(spark):
     assert many.agg({"point_id": "count", "method_id": "sum"}).first()[:] == (3000, 0)
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_innermost_makes_a_row_per_power_of_two_not_one_per_range(spark, first):
+    """400 ranges hold each of 400 lines: no step may make 160,000 rows of them."""
+
+    def steps(plan):
+        kids = plan.children()
+        yield plan
+        for k in range(kids.size()):
+            yield from steps(kids.apply(k))
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = graph.innermost(spark.range(400).selectExpr("id AS point_id", "0 AS file", "1000 + id AS line"), spark.range(400).selectExpr("id AS method_id", "0 AS file", "id AS line_start", "3000 + 2 * id AS line_end"), first=first)
+        assert {tuple(x) for x in got.collect()} == {(k, 0) for k in range(400)}
+        rows = [s.metrics().apply("numOutputRows").value() for s in steps(got._jdf.queryExecution().executedPlan()) if s.metrics().contains("numOutputRows")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(rows) > 5
+    assert 400 <= max(rows) < 400 * 64
+
+
 def test_mounted_routes_at_any_depth(spark):
     mounts = [(k, k + 1, f"/m{k}") for k in range(12)] + [(0, 12, "/short"), (12, 11, "/back"), (31, 32, "/a"), (32, 31, "/b")]
     routes = [(12, "/deep"), (40, "/alone"), (31, "/loop"), (0, "/root")]
